@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, quality
 
 #: name -> (query, DuckDB SQL or None)
 REGISTERED = {
     "op2_mixing": (mixing.op2, mixing.ORACLE_SQL),
+    "op3_quality_rules": (quality.op3, None),
 }
 
 
