@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, quality
+from . import language, mixing, quality
 
 #: name -> (query, DuckDB SQL or None)
 REGISTERED = {
     "op2_mixing": (mixing.op2, mixing.ORACLE_SQL),
     "op3_quality_rules": (quality.op3, None),
+    "op10_language_id": (language.op10, None),
 }
 
 
