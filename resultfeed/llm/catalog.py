@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality
+from . import language, mixing, quality, urls
 
 #: name -> (query, DuckDB SQL or None)
 REGISTERED = {
+    "op1_url_filter": (urls.op1, None),
     "op2_mixing": (mixing.op2, mixing.ORACLE_SQL),
     "op3_quality_rules": (quality.op3, None),
     "op10_language_id": (language.op10, None),
