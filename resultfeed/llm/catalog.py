@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality, urls
+from . import language, mixing, quality, telephony, urls
 
 #: name -> (query, DuckDB SQL or None)
 REGISTERED = {
     "op1_url_filter": (urls.op1, None),
     "op2_mixing": (mixing.op2, mixing.ORACLE_SQL),
     "op3_quality_rules": (quality.op3, None),
+    "op7_telephony": (telephony.op7, None),
     "op10_language_id": (language.op10, None),
 }
 
