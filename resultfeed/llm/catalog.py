@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import language, mixing, quality, telephony, urls
+from . import language, mixing, packing, quality, telephony, tokens, urls
 
 #: name -> (query, DuckDB SQL or None)
 REGISTERED = {
     "op1_url_filter": (urls.op1, None),
     "op2_mixing": (mixing.op2, mixing.ORACLE_SQL),
     "op3_quality_rules": (quality.op3, None),
+    "op5_packing": (packing.op5, None),
     "op7_telephony": (telephony.op7, None),
+    "op9_token_counts": (tokens.op9, None),
     "op10_language_id": (language.op10, None),
 }
 
