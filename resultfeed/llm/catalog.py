@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, telephony, tokens, urls
+from . import jaccard, language, mixing, packing, quality, repeats, telephony, tokens, urls
 
 #: name -> (query, DuckDB SQL or None)
 REGISTERED = {
     "op1_url_filter": (urls.op1, None),
     "op2_mixing": (mixing.op2, mixing.ORACLE_SQL),
     "op3_quality_rules": (quality.op3, None),
+    "op4_suffix_dedup": (repeats.op4, None),
     "op5_packing": (packing.op5, None),
     "op7_telephony": (telephony.op7, None),
     "op8_jaccard_join": (jaccard.op8, None),
