@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, language, mixing, packing, quality, repeats, telephony, tokens, urls
+from . import jaccard, language, mixing, packing, quality, repeats, sharding, telephony, tokens, urls
 
 #: name -> (query, DuckDB SQL or None)
 REGISTERED = {
@@ -11,6 +11,7 @@ REGISTERED = {
     "op3_quality_rules": (quality.op3, None),
     "op4_suffix_dedup": (repeats.op4, None),
     "op5_packing": (packing.op5, None),
+    "op6_sharding": (sharding.op6, sharding.ORACLE_SQL),
     "op7_telephony": (telephony.op7, None),
     "op8_jaccard_join": (jaccard.op8, None),
     "op9_token_counts": (tokens.op9, None),
