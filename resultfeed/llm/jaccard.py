@@ -7,8 +7,9 @@ Documents are linked if the Jaccard similarity of their sets of 5-word shingles
 2. Each text gets 128 MinHash values; 32 bands of 4 name buckets.  Texts that share no bucket with another
    are done.  A pair at the threshold shares none with probability 5e-8.
 3. The others are put into blocks of bounded count and bytes, together with what they share buckets
-   with.  The unit of pairing is a pair of blocks that some bucket connects, never a pair of documents:
-   a bucket with thousands of texts is a few block pairs, and a text is sent once for each of its own.
+   with.  The unit of pairing is a block, or a pair of blocks that some bucket connects, never a pair of
+   documents: a bucket with thousands of texts is a few block pairs, and a text is sent to its block and to
+   those pairs of blocks that its own buckets connect.
 4. In a block pair, pairs whose sizes cannot reach the threshold are dropped, then MinHash values are
    compared eight at a time: with m of n equal, the posterior of a uniform prior is Beta(m + 1, n - m + 1),
    and a pair goes when its probability of reaching the threshold falls below 1e-9.  The rest are verified by
@@ -288,16 +289,19 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", do
     mixed_blocks = max(1, -(-2 * total[0] // BLOCK_ROWS), -(-2 * total[1] // BLOCK_BYTES))
     sub = F.when(F.col("parts") > 1, F.xxhash64("label", F.pmod(F.xxhash64("cid"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("label"), F.lit(mixed_blocks)))
     placed = cut(led.join(cut(weight), "label").select("cid", "mult", sub.alias("block")))
-    by_bucket = met.select("cid", "bucket").join(placed.select("cid", "block"), "cid").select("bucket", "block").distinct()
-    across = by_bucket.groupBy("bucket").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo != hi").select("bucket")
-    spread = cut(by_bucket.join(across, "bucket", "left_semi"))
-    two = spread.alias("x").join(spread.alias("y"), "bucket").where("x.block < y.block").select(F.col("x.block").alias("b1"), F.col("y.block").alias("b2")).distinct()
-    one = placed.select(F.col("block").alias("b1"), F.col("block").alias("b2")).distinct()
-    block_pairs = cut(one.unionByName(two))
-    ends = block_pairs.select(F.col("b1").alias("block"), "b1", "b2").unionByName(block_pairs.where("b1 != b2").select(F.col("b2").alias("block"), "b1", "b2"))
+    # a text goes to its own block, and to each pair of blocks that one of its buckets connects
+    members = cut(met.select("cid", "bucket").join(placed.select("cid", "block"), "cid"))
+    across = members.groupBy("bucket").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo != hi").select("bucket")
+    members = cut(members.join(cut(across), "bucket", "left_semi"))
+    spread = cut(members.select("bucket", "block").distinct())
+    two = spread.alias("x").join(spread.alias("y"), "bucket").where("x.block < y.block").select("bucket", F.col("x.block").alias("b1"), F.col("y.block").alias("b2"))
+    ends = two.select("bucket", F.col("b1").alias("block"), "b1", "b2").unionByName(two.select("bucket", F.col("b2").alias("block"), "b1", "b2"))
+    routed = members.join(ends, ["bucket", "block"]).select("cid", "block", "b1", "b2").distinct()
+    own = placed.select("cid", "block", F.col("block").alias("b1"), F.col("block").alias("b2"))
+    routes = cut(own.unionByName(routed).join(placed.select("cid", "mult"), "cid"))
     # 4. links
-    texts = rows.select("rid", "text").join(placed.select(F.col("cid").alias("rid"), "mult", "block"), "rid")
-    sent = texts.join(ends, "block").select(F.col("rid").alias("cid"), "mult", "text", "block", "b1", "b2")
+    sent = rows.select("rid", "text").join(routes.select(F.col("cid").alias("rid"), "mult", "block", "b1", "b2"), "rid")
+    sent = sent.select(F.col("rid").alias("cid"), "mult", "text", "block", "b1", "b2")
     found = cut(sent.groupBy("b1", "b2").applyInArrow(lambda table: _block_pair(table, threshold), "cid long, other long, links long"))
     links = found.where(F.col("other").isNull()).groupBy("cid").agg(F.sum("links").alias("links"))
     # 5. groups
