@@ -1,11 +1,217 @@
-"""Query catalogue of the live-query engine (filled by the modules of the package)."""
+"""Query catalogue: the SQL surface that subscribed queries use, and the engine's own operators, each with DuckDB SQL
+that gives the same rows.
+
+Plain SQL entries go through the dialect shim and ``spark.sql``, as a subscribed query does.  Operator entries call the
+package's functions; for them the SQL is an oracle only.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from resultfeed.functions.encode import hex_bytes, row_json
+from resultfeed.operators import diff
+from resultfeed.plans.dialect import to_spark
+from resultfeed.plans.predicate import may_match, parse, tri_state
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _views(spark: SparkSession, sf_dir: str, sql: str) -> None:
+    """Views of the tables that a query names, made anew: a view keeps the list of files it was made with."""
+    for name in TABLES:
+        if name in sql:
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def _sql(text: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        _views(spark, sf_dir, text)
+        return spark.sql(to_spark(text))
+
+    return run
+
+
+#: Queries whose one text is PostgreSQL, runs on Spark through the shim, and on DuckDB as it is.
+SQL = {
+    "pred_eq": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'",
+    "pred_ne": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P'",
+    "pred_range": "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity >= 10 AND l_quantity < 20 AND l_discount <= 0.05 AND l_tax > 0.01",
+    "pred_reversed": "SELECT o_orderkey FROM orders WHERE 200000 < o_totalprice",
+    "pred_in": "SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')",
+    "pred_null": "SELECT k FROM (SELECT o_orderkey AS k, NULLIF(o_orderstatus, 'F') AS s FROM orders) t WHERE s IS NULL",
+    "pred_not_null": "SELECT k FROM (SELECT o_orderkey AS k, NULLIF(o_orderstatus, 'F') AS s FROM orders) t WHERE s IS NOT NULL",
+    "pred_and_or": "SELECT event_id FROM events WHERE (event_type = 'click' OR event_type = 'view') AND (value > 100 OR user_id = -1)",
+    "pred_between": "SELECT p_partkey FROM part WHERE p_size BETWEEN 10 AND 20 AND NOT (p_brand = 'Brand#11')",
+    "pred_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring%' OR p_type LIKE 'S%'",
+    "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
+    "fetch_first": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey FETCH FIRST 10 ROWS ONLY",
+    "nulls_order": "SELECT k, s FROM (SELECT o_orderkey AS k, NULLIF(o_orderstatus, 'P') AS s FROM orders) t ORDER BY s DESC NULLS FIRST, k LIMIT 40",
+    "join_inner": "SELECT c.c_name, o.o_orderkey AS order_id, o.o_totalprice FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey",
+    "join_left": "SELECT p.p_partkey, l.l_orderkey FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 49",
+    "join_right": "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000",
+    "join_full": "SELECT s.s_suppkey, c.c_custkey FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey",
+    "join_cross": "SELECT r.r_name, n.n_name FROM region r CROSS JOIN nation n",
+    "join_theta": "SELECT n.n_name, r.r_name FROM nation n JOIN region r ON n.n_regionkey > r.r_regionkey",
+    "join_self": "SELECT a.n_name AS a_name, b.n_name AS b_name FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey",
+    "join_multi": "SELECT c.c_name AS customer, p.p_name AS product, l.l_quantity, l.l_extendedprice FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN part p ON l.l_partkey = p.p_partkey",
+    "join_lateral": "SELECT n.n_name, t.c_custkey FROM nation n, LATERAL (SELECT c.c_custkey FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000) t",
+    "group_agg": "SELECT o_custkey, COUNT(*) AS order_count, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_spent FROM orders GROUP BY o_custkey",
+    "group_having": "SELECT p_brand, COUNT(*) AS cnt, MAX(p_retailprice) AS mx FROM part GROUP BY p_brand HAVING COUNT(*) > 10",
+    "group_none": "SELECT COUNT(*) AS n, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders",
+    "group_filter": "SELECT user_id, COUNT(*) FILTER (WHERE event_type = 'click') AS clicks, COUNT(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
+    "grouping_sets": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())",
+    "rollup": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
+    "cube": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "subq_in": "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F')",
+    "subq_any": "SELECT c_custkey FROM customer WHERE c_custkey = ANY (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
+    "subq_exists": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
+    "subq_scalar": "SELECT o_orderkey FROM orders WHERE o_totalprice = (SELECT MAX(o_totalprice) FROM orders)",
+    "derived": "SELECT n_name, n_cust FROM (SELECT n.n_name, COUNT(c.c_custkey) AS n_cust FROM nation n LEFT JOIN customer c ON n.n_nationkey = c.c_nationkey GROUP BY n.n_nationkey, n.n_name) s WHERE n_cust > 0",
+    "cte": "WITH big AS (SELECT * FROM orders WHERE o_totalprice > 100000), li AS (SELECT l_orderkey, COUNT(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT b.o_orderkey, COALESCE(li.n, 0) AS n FROM big b LEFT JOIN li ON b.o_orderkey = li.l_orderkey",
+    "cte_recursive": "WITH RECURSIVE t(n) AS (SELECT 0 UNION ALL SELECT n + 1 FROM t WHERE n < 24) SELECT t.n, x.n_name FROM t JOIN nation x ON x.n_nationkey = t.n",
+    "window_rn": "SELECT p_partkey, p_brand, CAST(ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC NULLS LAST, p_partkey) AS BIGINT) AS price_rank FROM part",
+    "window_rank": "SELECT p_partkey, CAST(RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS d, CAST(NTILE(4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS q FROM part",
+    "window_frame": "SELECT event_id, LAG(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_id, LEAD(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id, FIRST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS first_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM events",
+    "case_tier": "SELECT c.c_custkey, s.order_count, CASE WHEN s.spent > 1000000 THEN 'VIP' WHEN s.spent > 100000 THEN 'Regular' ELSE 'New' END AS tier FROM customer c LEFT JOIN (SELECT o_custkey, COUNT(*) AS order_count, COALESCE(SUM(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS spent FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey) s ON c.c_custkey = s.o_custkey WHERE c.c_acctbal > 0",
+    "json_extract": "SELECT event_id, props->>'k' AS k FROM events WHERE props->>'k' IS NOT NULL",
+    "distinct": "SELECT DISTINCT o_orderstatus FROM orders",
+    "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC NULLS LAST, o_orderkey",
+    "union_all": "SELECT c_name AS name, 'customer' AS type FROM customer UNION ALL SELECT s_name AS name, 'supplier' AS type FROM supplier",
+    "union_distinct": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey AS k FROM supplier",
+    "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
+    "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier",
+    "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier",
+    "tx_batches": "SELECT tx, COUNT(*) AS n_rows, CAST(SUM(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS n_relevant FROM (SELECT CAST(FLOOR(event_id / 100.0) AS BIGINT) AS tx, event_type FROM events) t GROUP BY tx",
+    "cleanup_stale": "SELECT user_id, MAX(ts) AS last_activity FROM events GROUP BY user_id HAVING MAX(ts) <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL '30' SECOND",
+    "strings": "SELECT c_custkey, UPPER(c_name) AS u, LENGTH(c_name) AS n, SUBSTRING(c_name, 1, 4) AS head, c_name || '/' || c_mktsegment AS joined, REPLACE(c_mktsegment, 'I', 'i') AS r FROM customer",
+    "numbers": "SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS BIGINT) AS f, CAST(CEIL(o_totalprice) AS BIGINT) AS c, ABS(-o_orderkey) AS a, o_orderkey % 7 AS m, SIGN(o_custkey - 500)::INT AS s FROM orders",
+    "dates": "SELECT event_id, DATE_TRUNC('day', ts)::DATE::TEXT AS d, CAST(EXTRACT(HOUR FROM ts) AS INT) AS h, CAST(EXTRACT(MONTH FROM ts) AS INT) AS m FROM events",
+    "text_literal_compare": "SELECT event_id FROM events WHERE ts >= '2024-01-15 00:00:00'",
+    "quoted_names": 'SELECT "o_orderkey" AS "Key", o_orderstatus AS "status" FROM "orders" WHERE "o_orderstatus" = \'O\'',
+}
+
+#: DuckDB spells these otherwise.
+ORACLE = {
+    "json_extract": "SELECT event_id, props->>'$.k' AS k FROM events WHERE props->>'$.k' IS NOT NULL",
+    "fetch_first": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10",
+}
+
+_V = """v0 AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0),
+v1 AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 7 = 0 THEN 'S' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 <> 1)"""
+_A = _V + ", a AS (SELECT * FROM v0 WHERE o_orderstatus = 'P'), b AS (SELECT * FROM v1 WHERE o_orderstatus = 'P')"
+
+
+def versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``orders`` before and after a synthetic transaction: keys ending in 0 come, in 1 go, multiples of 7 change."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    status = F.when(F.col("o_orderkey") % 7 == 0, "S").otherwise(F.col("o_orderstatus"))
+    return orders.where("o_orderkey % 10 <> 0"), orders.where("o_orderkey % 10 <> 1").withColumn("o_orderstatus", status)
+
+
+def _diff_bag(spark, sf_dir):
+    old, new = (v.where("o_orderstatus = 'P'") for v in versions(spark, sf_dir))
+    return diff.diff_bag(old, new).drop("mz_timestamp")
+
+
+def _diff_identity(spark, sf_dir):
+    old, new = (v.select("o_orderkey", "o_orderstatus") for v in versions(spark, sf_dir))
+    return diff.diff_identity(old, new, ["o_orderkey"]).drop("mz_timestamp")
+
+
+def _init_events(spark, sf_dir):
+    return diff.init_events(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_orderkey", "o_orderstatus"), 0)
+
+
+def _skip_decision(spark, sf_dir):
+    old, new = versions(spark, sf_dir)
+    key = F.col("a.o_orderkey") == F.col("b.o_orderkey")
+    pairs = old.alias("a").join(new.alias("b"), key, "full_outer").where(~F.col("a.o_orderstatus").eqNullSafe(F.col("b.o_orderstatus")))
+    sides = pairs.select(F.explode(F.array("a.o_orderstatus", "b.o_orderstatus")).alias("o_orderstatus")).where("o_orderstatus IS NOT NULL")
+    asked = {"pending": "o_orderstatus = 'P'", "none": "o_orderstatus = 'Z'"}
+    found = sides.agg(*[F.max(may_match(sides.schema, parse(p)).cast("int")).alias(k) for k, p in asked.items()])
+    return found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("query_id"), F.col(k).alias("requery")) for k in asked])).alias("x")).select("x.*")
+
+
+def _tri_state(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("event_id", F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"), "value")
+    return rows.select("event_id", tri_state(rows, parse("event_type = 'click' AND value > 50")).alias("r"))
+
+
+def _seq_batches(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("query_id"), F.floor(F.col("event_id") / 5).alias("tx"))
+    return diff.seq_batches(rows, "query_id", "tx")
+
+
+def _fold_snapshot(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    return diff.fold_last(rows, ["user_id"], "event_id", F.col("event_type") == "error").drop("event_id")
+
+
+def _fold_events(spark, sf_dir):
+    old, new = versions(spark, sf_dir)
+    return diff.fold(diff.init_events(old, 0).unionByName(diff.diff_identity(old, new, ["o_orderkey"])))
+
+
+def _fanout(spark, sf_dir):
+    subs = table(spark, sf_dir, "events").select("user_id").distinct()
+    mode = F.when(F.col("user_id") % 3 == 0, "snapshot").otherwise("events")
+    return subs.select((F.col("user_id") % 7).alias("query_id"), mode.alias("mode")).groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("subs"))
+
+
+def _row_json(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderkey").alias("id"), F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s"))
+    return rows.select("o_orderkey", row_json(rows, ["id", "s"]).alias("data"))
+
+
+def _bytes_hex(spark, sf_dir):
+    return table(spark, sf_dir, "nation").select("n_nationkey", hex_bytes(F.col("n_name").cast("binary")).alias("h"))
+
+
+def _array_any(spark, sf_dir):
+    table(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return spark.sql(to_spark("SELECT p_partkey FROM part WHERE 'ring' = ANY(split(p_name, ' '))"))
+
+
+def _late_join(spark, sf_dir):
+    return diff.late_join_events(table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name"))
+
+
+def _identity_hash(spark, sf_dir):
+    from resultfeed.functions.encode import content_key
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return rows.select("n_nationkey", content_key(rows).alias("h"))
+
+
+OPERATORS = {
+    "init_events": (_init_events, "SELECT CAST(0 AS BIGINT) AS mz_timestamp, 1 AS mz_diff, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'"),
+    "late_join": (_late_join, "SELECT CAST(0 AS BIGINT) AS mz_timestamp, 1 AS mz_diff, c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "diff_bag": (_diff_bag, f"WITH {_A} SELECT *, -1 AS mz_diff FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 1 AS mz_diff FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)"),
+    "diff_identity": (_diff_identity, f"WITH {_V}, j AS (SELECT v0.o_orderkey AS k0, v0.o_orderstatus AS s0, v1.o_orderkey AS k1, v1.o_orderstatus AS s1 FROM v0 FULL OUTER JOIN v1 ON v0.o_orderkey = v1.o_orderkey) SELECT k0 AS o_orderkey, s0 AS o_orderstatus, -1 AS mz_diff FROM j WHERE k0 IS NOT NULL AND (k1 IS NULL OR s0 IS DISTINCT FROM s1) UNION ALL SELECT k1, s1, 1 FROM j WHERE k1 IS NOT NULL AND (k0 IS NULL OR s0 IS DISTINCT FROM s1)"),
+    "fold_events": (_fold_events, f"WITH {_V} SELECT * FROM v1"),
+    "fold_snapshot": (_fold_snapshot, "SELECT user_id, event_type, value FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) t WHERE rn = 1 AND event_type <> 'error'"),
+    "skip_decision": (_skip_decision, f"WITH {_V}, ch AS (SELECT v0.o_orderkey AS k0, v1.o_orderkey AS k1, v0.o_orderstatus AS s0, v1.o_orderstatus AS s1 FROM v0 FULL OUTER JOIN v1 ON v0.o_orderkey = v1.o_orderkey WHERE v0.o_orderstatus IS DISTINCT FROM v1.o_orderstatus), q AS (SELECT 'pending' AS query_id, 'P' AS s UNION ALL SELECT 'none', 'Z') SELECT q.query_id, MAX(CASE WHEN ch.s0 = q.s OR ch.s1 = q.s THEN 1 ELSE 0 END) AS requery FROM ch CROSS JOIN q GROUP BY q.query_id"),
+    "tri_state": (_tri_state, "SELECT event_id, CASE WHEN NULLIF(event_type, 'error') = 'click' AND value > 50 THEN 'match' WHEN NULLIF(event_type, 'error') <> 'click' OR value <= 50 THEN 'no_match' ELSE 'unknown' END AS r FROM events"),
+    "seq_batches": (_seq_batches, "SELECT query_id, tx, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY tx) AS BIGINT) AS seq, n_events FROM (SELECT event_type AS query_id, CAST(FLOOR(event_id / 5.0) AS BIGINT) AS tx, COUNT(*) AS n_events FROM events GROUP BY event_type, CAST(FLOOR(event_id / 5.0) AS BIGINT)) t"),
+    "fanout": (_fanout, "WITH s AS (SELECT user_id % 7 AS query_id, user_id AS sub_id, CASE WHEN user_id % 3 = 0 THEN 'snapshot' ELSE 'events' END AS mode FROM (SELECT DISTINCT user_id FROM events) d) SELECT query_id, mode, COUNT(*) AS subs FROM s GROUP BY query_id, mode"),
+    "row_json": (_row_json, "SELECT o_orderkey, CAST(json_object('id', o_orderkey, 's', NULLIF(o_orderstatus, 'F')) AS VARCHAR) AS data FROM orders"),
+    "bytes_hex": (_bytes_hex, r"SELECT n_nationkey, '\x' || lower(hex(encode(n_name))) AS h FROM nation"),
+    "identity_hash": (_identity_hash, "SELECT n_nationkey, sha256(CAST(json_object('n_nationkey', n_nationkey, 'n_name', n_name) AS VARCHAR)) AS h FROM nation"),
+    "array_any": (_array_any, "SELECT p_partkey FROM part WHERE 'ring' = ANY(string_split(p_name, ' '))"),
+}
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {k: _sql(v) for k, v in SQL.items()} | {k: run for k, (run, _) in OPERATORS.items()}
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {k: ORACLE.get(k, v) for k, v in SQL.items()} | {k: sql for k, (_, sql) in OPERATORS.items()}
