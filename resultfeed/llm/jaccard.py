@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import pieces, utf8
+from .arrays import frugal, pieces, utf8
 from .common import WORD_PATTERN, cut, free_name, read_table
 from .graph import components
 
@@ -220,14 +220,21 @@ def forest(n: int, pairs) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray
     return np.array([root(i) for i in range(n)], np.int64), seen
 
 
+def _prepared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, their bounds by text, and signatures, made piece by piece."""
+    codes, sizes, signed = [], [], []
+    for piece in pieces(table.select(["text"]).combine_chunks().to_batches()[0], "text"):
+        code, ends = shingles(*utf8(piece.column("text")))
+        codes.append(code), sizes.append(np.diff(ends)), signed.append(signatures(code, ends))
+    return np.concatenate(codes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]), np.concatenate(signed)
+
+
 def _block_pair(table: pa.Table, threshold: float) -> pa.Table:
     """Links inside one pair of blocks: rows (cid, other, links), ``other`` from the forest or null."""
     cid, at = np.unique(table.column("cid").to_numpy(), return_index=True)  # equal rows of one class come twice
     table = table.take(pa.array(at))
     mult = table.column("mult").to_numpy().astype(np.int64)
-    data, bounds = utf8(table.column("text"))
-    code, ends = shingles(data, bounds)
-    signature = signatures(code, ends)
+    code, ends, signature = _prepared(table)
     one = table.column("block").to_numpy() == table.column("b1").to_numpy()
     left = np.flatnonzero(one)
     right = left if table.column("b1")[0] == table.column("b2")[0] else np.flatnonzero(~one)
@@ -260,7 +267,7 @@ def _bucketed(rows: DataFrame) -> DataFrame:
                 names = bands(signatures(code, ends))[has]
                 yield piece.select(["rid"]).take(pa.array(has)).append_column("buckets", pa.FixedSizeListArray.from_arrays(pa.array(names.ravel()), names.shape[1]).cast(pa.list_(pa.int64())))
 
-    return rows.mapInArrow(run, "rid long, buckets array<long>")
+    return rows.mapInArrow(frugal(run), "rid long, buckets array<long>")
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import appended, pieces, row_sums, utf8
+from .arrays import appended, frugal, pieces, row_sums, utf8
 from .common import free_name, read_table
 
 BITS, DIMENSIONS, ORDERS = 16, 16, (1, 2, 3, 4)
@@ -176,7 +176,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFra
                 piece = piece.drop_columns([letters])
                 yield appended(piece, {names["lang_pred"]: languages.take(pa.array(best)), names["score"]: pa.array(score), names["accepted"]: pa.array((best < len(model.languages)) & (score >= model.accept))})
 
-    return marked.mapInArrow(run, T.StructType([*docs.schema.fields, *fields])), names
+    return marked.mapInArrow(frugal(run), T.StructType([*docs.schema.fields, *fields])), names
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

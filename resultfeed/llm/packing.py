@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import pieces
+from .arrays import frugal, pieces
 from .common import cut, read_table
 from .tokens import encoder
 
@@ -209,7 +209,7 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False,
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES + ", ids binary" * keep_ids)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), PIECES + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:

@@ -32,15 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import appended, pieces, utf8
+from .arrays import appended, frugal, pieces, utf8
 from .common import read_table, stored
 from .suffixes import Text, mixed, repeated
 
 WINDOW, GRAM = 100, 32
 #: Bytes hashed at once, and windows in one run at most.
-PART_BYTES, RUN_WINDOWS = 1 << 21, 255
+PART_BYTES, RUN_WINDOWS = (1 << 20) - 128, 255
 #: Text of one task between two local passes (its runs take about a byte per byte of text).
-LOCAL_BYTES = 64 << 20
+LOCAL_BYTES = 32 << 20
 #: Different runs of one gram beyond which it is marked, in a task and where runs meet.
 MANY_LOCAL, MANY = 32, 512
 LAST_ID = (1 << 63) - 1
@@ -366,14 +366,14 @@ def removed_windows(rows: DataFrame) -> DataFrame:
     """Steps 1 to 4 for ``rows`` (rid, key, text): rid, kind, lo, n."""
     parts = rows._jdf.queryExecution().toRdd().getNumPartitions()  # planning only: nothing runs
     buckets = max(16, 4 * parts)
-    blocks = rows.mapInArrow(_local(buckets), BLOCKS)
+    blocks = rows.mapInArrow(frugal(_local(buckets)), BLOCKS)
     found = stored(blocks.groupBy("bucket").applyInArrow(_meet(buckets), FOUND))
     opened = found.where(F.col("kind") != REMOVED).groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "gram", "kind", "key")).alias("open"))
-    contents = stored(rows.select("rid", "text").join(opened, "rid").mapInArrow(_contents, CONTENTS))
+    contents = stored(rows.select("rid", "text").join(opened, "rid").mapInArrow(frugal(_contents), CONTENTS))
     cold = contents.where(F.col("kind") == OPEN)
     groups = max(16, 4 * parts)
     cold = cold.groupBy(F.pmod("gram", F.lit(groups)).alias("part")).applyInArrow(_sorted_out, "rid long, kind int, lo long, n int")
-    windows = contents.where(F.col("kind") == MARKED).mapInArrow(_windows, "w1 long, w2 long, key long, rid long, at long")
+    windows = contents.where(F.col("kind") == MARKED).mapInArrow(frugal(_windows), "w1 long, w2 long, key long, rid long, at long")
     first = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "rid", "at")).alias("f")).select("f.rid", F.lit(FIRST).alias("kind"), F.col("f.at").alias("lo"), F.lit(1).alias("n"))
     return found.where(F.col("kind") != OPEN).select("rid", "kind", "lo", "n").unionByName(cold).unionByName(first)
 
@@ -385,7 +385,7 @@ def _judged(docs: DataFrame, keep: list[str], kept_text: bool, text: str = "text
     gone = stored(removed_windows(rows)).groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("kind", "lo", "n")).alias("_gone"))
     own = docs.select(*[F.col(f"`{c}`") for c in keep], rid.alias("_rid"), body.alias("_text")).join(gone, "_rid", "left")
     schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in ("_n", "_removed", "_spans")], T.StructField("_out", T.StringType())])
-    return own.mapInArrow(_applied(keep, kept_text), schema)
+    return own.mapInArrow(frugal(_applied(keep, kept_text)), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import appended, pieces, row_sums, utf8
+from .arrays import appended, frugal, pieces, row_sums, utf8
 from .common import free_name, process_cache, read_table
 
 #: WAV format tags.
@@ -181,7 +181,7 @@ def encode(df: DataFrame, text: str = "text", codec: int | None = None) -> tuple
                 media = [store(p, codec_of(p) if codec is None else codec) for p in padded(data, bounds)]
                 yield appended(piece, {names["n_bytes"]: pa.array(np.diff(bounds)), names["media"]: pa.array(media, pa.binary())})
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(names["n_bytes"], T.LongType()), T.StructField(names["media"], T.BinaryType())])), names
+    return df.mapInArrow(frugal(run), T.StructType([*df.schema.fields, T.StructField(names["n_bytes"], T.LongType()), T.StructField(names["media"], T.BinaryType())])), names
 
 
 def decode(df: DataFrame, media: str = "media") -> tuple[DataFrame, dict[str, str]]:
@@ -200,7 +200,7 @@ def decode(df: DataFrame, media: str = "media") -> tuple[DataFrame, dict[str, st
                 })
 
     fields = [T.StructField(names["codec"], T.StringType()), T.StructField(names["sample_rate"], T.IntegerType()), T.StructField(names["pcm"], T.BinaryType())]
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields])), names
+    return df.mapInArrow(frugal(run), T.StructType([*df.schema.fields, *fields])), names
 
 
 DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -234,7 +234,7 @@ def digest(df: DataFrame, text: str = "text", codec: int | None = None) -> DataF
                 made_here = {"n_bytes": pa.array(np.diff(bounds))} | {k: pa.array(v, t) for k, v, t in zip(made.names[1:], columns, kinds, strict=True)}
                 yield appended(piece.select([f.name for f in keep]), made_here)
 
-    return df.select(*[F.col(f"`{f.name}`") for f in keep], text).mapInArrow(run, T.StructType([*keep, *made.fields]))
+    return df.select(*[F.col(f"`{f.name}`") for f in keep], text).mapInArrow(frugal(run), T.StructType([*keep, *made.fields]))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

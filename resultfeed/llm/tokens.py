@@ -18,6 +18,7 @@ name where the input has one of theirs.
 from __future__ import annotations
 
 import base64
+import json
 import re
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import appended, pieces
+from .arrays import appended, frugal, pieces
 from .common import free_name, process_cache, read_table
 
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
@@ -44,17 +45,23 @@ class Encoder:
 
     def __init__(self, vocabulary: str, ranks: str | None = None, fast: bool = True):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(vocabulary)
-        self.special = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self._vocabulary, self._exact = vocabulary, None
+        with open(vocabulary, encoding="utf-8") as f:
+            found = json.load(f)
+        self.special = [t["content"] for t in found.get("added_tokens", [])]
+        #: Bytes of each id.
+        self.sizes = np.zeros(max([*found["model"]["vocab"].values(), *[t["id"] for t in found.get("added_tokens", [])]]) + 1, np.int64)
+        for word, i in found["model"]["vocab"].items():  # one character stands for one byte
+            self.sizes[i] = len(word)
+        for t in found.get("added_tokens", []):
+            self.sizes[t["id"]] = len(t["content"].encode())
         self.quick = None
         if fast and ranks is not None:
             import public_tokenizers
 
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(ranks, "rb"))}
             self.quick = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self._sizes = None
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text as uint32."""
@@ -63,14 +70,13 @@ class Encoder:
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)
 
     @property
-    def sizes(self) -> np.ndarray:
-        """Bytes of each id."""
-        if self._sizes is None:
-            words = self.exact.get_vocab()
-            self._sizes = np.zeros(max(words.values()) + 1, np.int64)
-            for word, i in words.items():  # one character stands for one byte
-                self._sizes[i] = len(word.encode()) if word in self.special else len(word)
-        return self._sizes
+    def exact(self):
+        """The library itself, loaded when a text needs it."""
+        if self._exact is None:
+            from tokenizers import Tokenizer
+
+            self._exact = Tokenizer.from_file(self._vocabulary)
+        return self._exact
 
     def ends(self, text: str) -> np.ndarray:
         """Where each token ends in the text's UTF-8 bytes."""
@@ -144,7 +150,7 @@ def section_counts(docs: DataFrame, text: str = "text", vocabulary: str | None =
                     chosen = piece.select([f.name for f in keep]).take(pa.array(np.concatenate(row)))
                     yield appended(chosen, dict(zip(names.values(), columns, strict=True)))
 
-    return docs.select(*[F.col(f"`{f.name}`") for f in keep], text).mapInArrow(run, T.StructType([*keep, *fields])), names
+    return docs.select(*[F.col(f"`{f.name}`") for f in keep], text).mapInArrow(frugal(run), T.StructType([*keep, *fields])), names
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import appended, pieces, row_sums, utf8
+from .arrays import appended, frugal, pieces, row_sums, utf8
 from .common import free_name, read_table
 
 ALLOW, BLOCK = "allow", "block"
@@ -184,7 +184,7 @@ def judge(pages: DataFrame, model: Model, rules: dict[str, str] = RULES, url: st
                     found[at] = model.score(piece.column(host).filter(open_rows), piece.column(path).filter(open_rows))
                 yield appended(piece, {score: pa.array(found, mask=np.isnan(found))})
 
-    scored = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField(score, T.DoubleType())]))
+    scored = out.mapInArrow(frugal(run), T.StructType([*out.schema.fields, T.StructField(score, T.DoubleType())]))
     decided = F.coalesce(*[F.when(F.col(rule) == r, F.lit(v)) for r, v in rules.items()]) if rules else F.lit(None)
     verdict = F.when(F.col(rule).isNotNull(), decided).otherwise(F.when(F.col(score) >= 0.5, BLOCK).otherwise(ALLOW))
     return scored.withColumn(names["verdict"], verdict), names
