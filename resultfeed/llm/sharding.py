@@ -6,9 +6,10 @@ file ``v<number>.json`` whose rename into place is the commit (it fails if that
 then tried anew on the newer one).  Readers of older versions are not disturbed until ``vacuum``.
 
 Compaction is size-tiered: shards below the target fall into tiers by powers of ``fan_in``; a tier
-with ``fan_in`` shards is merged.  One Spark job merges a whole round: the file scan packs files, largest
-first, into partitions of the target size, and each task writes its partition as one file.  There is no
-shuffle and no rewriting of shards that have reached half the target.
+with ``fan_in`` shards is merged.  One Spark job merges a whole round: the file scan packs files into
+partitions of a fraction of the target, those are coalesced to as many tasks as target-sized files are
+needed, and each task writes one file.  There is no shuffle and no rewriting of shards that have
+reached half the target.  A merge that would not lower the number of shards is not committed.
 
 Defined cases: an empty arrival adds no shard, an empty store reads as an empty table of its schema; any
 columns may be null or have any name; rows repeat as they came.  All files go through Hadoop's file
@@ -179,13 +180,14 @@ class ShardStore:
 
     def _merge(self, shards: list[Shard], schema: T.StructType) -> list[Shard]:
         conf, below = self.spark.conf, f"data/{uuid.uuid4().hex}"
-        # the scan packs files into partitions of this size; no more partitions than that
-        own = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
+        files = max(1, -(-sum(s.n_bytes for s in shards) // self.target))
+        # the scan packs files into partitions of this size, several to a task
+        own = {"spark.sql.files.maxPartitionBytes": str(max(1, self.target // 8)), "spark.sql.files.openCostInBytes": "0"}
         before = {k: conf.get(k, None) for k in own}
         try:
             for k, v in own.items():
                 conf.set(k, v)
-            self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in shards]).write.parquet(f"{self.root}/{below}")
+            self.spark.read.schema(schema).parquet(*[f"{self.root}/{s.path}" for s in shards]).coalesce(files).write.parquet(f"{self.root}/{below}")
         finally:
             for k, v in before.items():
                 conf.unset(k) if v is None else conf.set(k, v)
@@ -198,6 +200,8 @@ class ShardStore:
         """Merges tier by tier until none is due; each merge is one commit."""
         while (now := self.manifest()) is not None and (shards := self.due(now)):
             merged = self._merge(shards, T.StructType.fromJson(json.loads(now.schema)))
+            if len(merged) >= len(shards):
+                break
             self._change(now.schema, merged, {s.path for s in shards}, f"merge {len(shards)} into {len(merged)}")
         return self.manifest()
 
