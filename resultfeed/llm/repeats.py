@@ -383,15 +383,17 @@ def _judged(docs: DataFrame, keep: list[str], kept_text: bool, text: str = "text
     rid = F.monotonically_increasing_id()
     rows = docs.select(rid.alias("rid"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("key"), body.alias("text"))
     gone = stored(removed_windows(rows)).groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("kind", "lo", "n")).alias("_gone"))
-    own = docs.select(*[F.col(f"`{c}`") for c in keep], rid.alias("_rid"), body.alias("_text")).join(gone, "_rid", "left")
-    schema = T.StructType([*[docs.schema[c] for c in keep], *[T.StructField(c, T.LongType()) for c in ("_n", "_removed", "_spans")], T.StructField("_out", T.StringType())])
-    return own.mapInArrow(frugal(_applied(keep, kept_text)), schema)
+    # the input's columns go by number, so that none can clash
+    numbered = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
+    own = docs.select(*[F.col(f"`{c}`").alias(f.name) for c, f in zip(keep, numbered, strict=True)], rid.alias("_rid"), body.alias("_text")).join(gone, "_rid", "left")
+    schema = T.StructType([*numbered, *[T.StructField(c, T.LongType()) for c in ("_n", "_removed", "_spans")], T.StructField("_out", T.StringType())])
+    return own.mapInArrow(frugal(_applied([f.name for f in numbered], kept_text)), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     out = _judged(docs, ["doc_id"], kept_text=False)
-    return out.select("doc_id", F.col("_n").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.col("_out").alias("kept_sha256"))
+    return out.select(F.col("k0").alias("doc_id"), F.col("_n").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.col("_out").alias("kept_sha256"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -399,10 +401,11 @@ def dedup(docs: DataFrame) -> DataFrame:
     text.  Rows of which nothing is left go."""
     out = _judged(docs, docs.columns, kept_text=True)
     changed = F.col("_removed") > 0
-    out = out.where(~changed | (F.length(F.trim("_out")) > 0)).withColumn("text", F.when(changed, F.col("_out")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("_out").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    final = {c: F.col(f"k{i}") for i, c in enumerate(docs.columns)}
+    final["text"] = F.when(changed, F.col("_out")).otherwise(final["text"])
+    if "n_chars" in final:
+        final["n_chars"] = F.when(changed, F.length("_out").cast(docs.schema["n_chars"].dataType)).otherwise(final["n_chars"])
+    return out.where(~changed | (F.length(F.trim("_out")) > 0)).select(*[v.alias(c) for c, v in final.items()])
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
