@@ -12,7 +12,7 @@ a shorter first one.  How to fill sequences is decided on the driver from the hi
 
 The plan is a list of runs: ranks a..b among the pieces of one length go to sequences s.. at one offset.
 Pieces get their ranks from counts by (length, salt), so that no length, however common, is ordered in
-one task.  Rates of group sizes are tried and the plan with the fewest sequences is taken.
+one task.  Several numbers of groups are tried and the plan with the fewest sequences is taken.
 
 Defined cases: a null or empty text is one piece with the end token only; repeated rows (and repeated
 ids) are packed each; an empty table gives an empty table.
@@ -38,7 +38,7 @@ CAPACITY, END = 2048, 0
 SMALL = 8
 GROUPS = (24, 48, 96, 192, 2048)
 SALTS = 64
-#: Rows of a plan that are broadcast; a plan has some thousands.
+#: Rows of a plan that are broadcast; a plan has some thousands.  A longer one is joined by shuffle.
 MOST_RUNS = 200_000
 
 
@@ -226,13 +226,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, voca
         before.append((length, salt, total.get(length, 0)))
         total[length] = total.get(length, 0) + n
     runs, _ = plan(total, capacity)
-    if len(runs) > MOST_RUNS:
-        raise ValueError("the plan is too long to broadcast")
     offsets = spark.createDataFrame(before, "length long, salt int, before long")
     table = spark.createDataFrame([(r.length, r.first, r.first + r.n, r.sequence, r.offset) for r in runs], "length long, first long, behind long, sequence long, offset long")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = made.withColumn("place", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    found = ranked.alias("a").join(F.broadcast(table).alias("b"), (F.col("a.length") == F.col("b.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("behind")))
+    found = ranked.alias("a").join((F.broadcast(table) if len(runs) <= MOST_RUNS else table).alias("b"), (F.col("a.length") == F.col("b.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("behind")))
     return found.select("doc_id", "piece", "start", "a.length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset", *["ids"] * keep_ids)
 
 
