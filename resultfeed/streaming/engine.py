@@ -96,9 +96,9 @@ class Engine:
         typed = changelog.images(changes.where(F.lower("tbl") == state.name), state.schema())
         return changelog.before_images(self.table(spark, state), typed, state.keys)
 
-    def _advance(self, spark: SparkSession, state: TableState, resolved: DataFrame, batch_id: int) -> TableState:
+    def _advance(self, spark: SparkSession, state: TableState, resolved: DataFrame, batch_id: int, truncated: bool) -> TableState:
         """The table's next version: writes the changed keys only."""
-        schema, truncated = state.schema(), resolved.where("op = 'T'").limit(1).count() > 0
+        schema = state.schema()
         last = changelog.latest(resolved, state.keys)
 
         def value(c: str):
@@ -211,12 +211,16 @@ class Engine:
             spark = batch.sparkSession
             changes = batch.persist()
             try:
-                touched = sorted(r[0] for r in changes.select(F.lower("tbl")).distinct().collect() if r[0] in self.tables)
-                self.metrics.add("transactions", changes.select("tx").distinct().count())
-                self.metrics.add("changes", changes.count())
+                # one job: counts, and which tables changed or were truncated (as many as there are tables)
+                seen = F.collect_set(F.struct(F.lower("tbl").alias("tbl"), (F.col("op") == "T").alias("cut")))
+                n_tx, n, found = changes.agg(F.count_distinct("tx"), F.count(F.lit(1)), seen).first()
+                touched = sorted({r.tbl for r in found if r.tbl in self.tables})
+                truncated = {r.tbl for r in found if r.cut}
+                self.metrics.add("transactions", n_tx)
+                self.metrics.add("changes", n)
                 resolved = {t: self._resolved(spark, self.tables[t], changes).persist() for t in touched}
                 queries = self.pruned(resolved, self.registry.for_tables(touched))
-                tables = self.tables | {t: self._advance(spark, self.tables[t], resolved[t], batch_id) for t in touched}
+                tables = self.tables | {t: self._advance(spark, self.tables[t], resolved[t], batch_id, t in truncated) for t in touched}
                 for t in tables.values():
                     self._view(spark, t)
                 with ThreadPoolExecutor(self.config.requery_parallelism) as pool:
