@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, codec: str | None = None) -> DataFrame:
     """Like ``cut``, as a Parquet table in the shared folder: smaller than a checkpoint where rows are many.
 
     Shuffle files that only this table needed are garbage then; the driver's JVM is asked to notice.
@@ -49,12 +49,21 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/resultfeed-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     atexit.register(_remove, spark, path)
     spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of each row in ``name``, given once and stored with the row.
+
+    Never number rows in each scan: the number holds the partition, and Spark deals files to partitions by the
+    settings and the executors' cores at the time of the scan.
+    """
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), codec="zstd")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
         place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

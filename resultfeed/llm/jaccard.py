@@ -19,8 +19,8 @@ Documents are linked if the Jaccard similarity of their sets of 5-word shingles
 
 Defined cases: a text of one to four words has one shingle, all its words; null and blank texts have
 none, hence no links, and are groups of their own; equal rows are copies of one another; rows with
-equal ids and different texts are different documents; ``docs`` must give its rows in the same order
-when it is read again (a table, or a checkpoint), since rows get numbers.
+equal ids and different texts are different documents.  Rows are numbered once and stored with their
+numbers; every later scan reads that table.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import frugal, pieces, utf8
-from .common import WORD_PATTERN, cut, free_name, read_table
+from .common import WORD_PATTERN, cut, free_name, numbered, read_table
 from .graph import components
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -273,10 +273,12 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: rid (its number), doc_id, copy_id (smallest id with the same text), class_id
     (smallest id of its group), n_links (other rows it is linked to, copies included), first (one row of each group)."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("h1"), F.xxhash64(F.lit("second"), body).alias("h2"), body.alias("text")
-    )
+    return _grouped(numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "rid"), threshold)
+
+
+def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
+    """``groups`` for a stored table of rid, doc_id, text."""
+    rows = docs.select("rid", "doc_id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit("second"), "text").alias("h2"), "text")
     # 1. copies
     ids = cut(rows.select("rid", "doc_id", "h1", "h2", F.octet_length("text").cast("long").alias("size"), F.col("text").rlike(WORD_PATTERN).alias("has")))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("id"), F.col("rid").alias("rid")))
@@ -331,8 +333,9 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", do
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each group, same columns."""
     rid = free_name(docs.columns, "rid")
-    kept = groups(docs, threshold).where("first").select(F.col("rid").alias(rid))
-    return docs.withColumn(rid, F.monotonically_increasing_id()).join(kept, rid, "left_semi").select(*docs.columns)
+    rows = numbered(docs, rid)
+    kept = _grouped(rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), threshold)
+    return rows.join(kept.where("first").select(F.col("rid").alias(rid)), rid, "left_semi").select(*docs.columns)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

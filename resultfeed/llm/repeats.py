@@ -15,9 +15,10 @@ fall into runs that share their gram, some 37 bytes a run, and only runs with eq
    sees many sends a mark instead, and all windows of marked grams meet by 128-bit hash, where the
    earliest is found by a sum that is combined before the shuffle.
 
+Rows are numbered once and stored with their numbers; every later scan reads that table.
 Order is that of (doc_id, row, start).  Defined cases: a null text is empty; null ids come last; rows of
-one id are ordered as read; texts shorter than 100 bytes lose nothing; equal rows are copies: the first
-stays.  ``docs`` must give its rows in the same order when it is read again (a table, or a checkpoint).
+one id are ordered as numbered; texts shorter than 100 bytes lose nothing; equal rows are copies: the first
+stays.
 ``dedup`` drops the halves of characters that a removal cuts through, and rows that end up empty.
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrays import appended, frugal, pieces, utf8
-from .common import read_table, stored
+from .common import numbered, read_table, stored
 from .suffixes import Text, mixed, repeated
 
 WINDOW, GRAM = 100, 32
@@ -379,15 +380,16 @@ def removed_windows(rows: DataFrame) -> DataFrame:
 
 
 def _judged(docs: DataFrame, keep: list[str], kept_text: bool, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    body = F.coalesce(F.col(text), F.lit(""))
-    rid = F.monotonically_increasing_id()
-    rows = docs.select(rid.alias("rid"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)).alias("key"), body.alias("text"))
-    gone = stored(removed_windows(rows)).groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("kind", "lo", "n")).alias("_gone"))
     # the input's columns go by number, so that none can clash
-    numbered = [T.StructField(f"k{i}", docs.schema[c].dataType) for i, c in enumerate(keep)]
-    own = docs.select(*[F.col(f"`{c}`").alias(f.name) for c, f in zip(keep, numbered, strict=True)], rid.alias("_rid"), body.alias("_text")).join(gone, "_rid", "left")
-    schema = T.StructType([*numbered, *[T.StructField(c, T.LongType()) for c in ("_n", "_removed", "_spans")], T.StructField("_out", T.StringType())])
-    return own.mapInArrow(frugal(_applied([f.name for f in numbered], kept_text)), schema)
+    named = {c: f"k{i}" for i, c in enumerate(dict.fromkeys([*keep, doc_id, text]))}
+    docs = numbered(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in named.items()]), "_rid")
+    body = F.coalesce(F.col(named[text]), F.lit(""))
+    rows = docs.select(F.col("_rid").alias("rid"), F.coalesce(F.col(named[doc_id]).cast("long"), F.lit(LAST_ID)).alias("key"), body.alias("text"))
+    gone = stored(removed_windows(rows)).groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("kind", "lo", "n")).alias("_gone"))
+    kept = [T.StructField(named[c], docs.schema[named[c]].dataType) for c in keep]
+    own = docs.select(*[f.name for f in kept], "_rid", body.alias("_text")).join(gone, "_rid", "left")
+    schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in ("_n", "_removed", "_spans")], T.StructField("_out", T.StringType())])
+    return own.mapInArrow(frugal(_applied([f.name for f in kept], kept_text)), schema)
 
 
 def digest(docs: DataFrame) -> DataFrame:

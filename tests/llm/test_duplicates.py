@@ -220,6 +220,40 @@ def test_texts_are_cut_between_characters(spark, tmp_path):
     assert got[1].text == "é" + shared + "é" and "\ufffd" not in got[2].text and got[2].n_chars == len(got[2].text) < 3
 
 
+def test_rows_keep_their_numbers_when_splits_change(spark, tmp_path, monkeypatch):
+    """After each step the table's files are dealt to partitions anew, as when executors come or go."""
+    rng, key = random.Random(4), "spark.sql.files.openCostInBytes"
+    texts = near_copies(rng, 30) + [prose(rng, rng.randint(20, 200), 3000) for _ in range(30)]
+    texts += texts[:10]
+    df = table(spark, tmp_path, list(enumerate(texts)), parts=9)
+    sizes = iter(["1k", "128m"] * 100)
+    parts = set()
+
+    def dealt(f):
+        def run(*args, **more):
+            out = f(*args, **more)
+            spark.conf.set(key, next(sizes))
+            parts.add(df.select("text").rdd.getNumPartitions())
+            return out
+
+        return run
+
+    for module, name in ((jaccard, "cut"), (repeats, "stored"), (jaccard, "numbered"), (repeats, "numbered")):
+        if hasattr(module, name):
+            monkeypatch.setattr(module, name, dealt(getattr(module, name)))
+    before = spark.conf.get(key)
+    try:
+        links, root = brute_links(texts)
+        got = {r.doc_id: (r.n_links, r.class_id) for r in jaccard.groups(df).collect()}
+        assert got == {i: (links[i], root[i]) for i in range(len(texts))}
+        assert sorted(r.doc_id for r in jaccard.keep_one(df).collect()) == sorted(set(root))
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(df).collect()}
+        assert [got[i] for i in range(len(texts))] == brute_removed(texts)
+        assert len(parts) > 1
+    finally:
+        spark.conf.set(key, before)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_pipeline_stage_by_stage(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
