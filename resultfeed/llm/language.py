@@ -5,7 +5,8 @@ no letter counts as a word end.  Each hashes to a row of an embedding table; a t
 rows; a linear layer and a softmax give the language.  Table and layer are trained by stochastic
 gradient descent in numpy on the driver, on a bounded sample of labelled rows.  A temperature fitted
 on rows kept out of training calibrates the probabilities, and the same rows set the score below which
-a prediction is rejected.  Prediction is a map over all rows: no shuffle, and whole texts in pieces.
+a prediction is rejected; where that would reject mostly right ones (labels that are wrong whatever the
+score), it is ``ACCEPT_FROM``.  Prediction is a map over all rows: no shuffle, and whole texts in pieces.
 
 Documented bound: at most about ``PER_LANGUAGE`` texts of at most ``SAMPLE_BYTES`` bytes are drawn for
 each language, by a hash of the id (ties and repeated ids come or stay together).
@@ -33,6 +34,8 @@ BITS, DIMENSIONS, ORDERS = 16, 16, (1, 2, 3, 4)
 PER_LANGUAGE, SAMPLE_BYTES = 800, 200_000
 EPOCHS, RATE, BATCH, CALIBRATION = 5, 2.0, 16, 5
 ACCEPT_FROM, ACCEPT_PRECISION = 0.5, 0.99
+#: A threshold that rejects a larger share must reject at least as many wrong predictions as right ones.
+REJECTED_SHARE = 0.02
 UNKNOWN = "und"
 
 #: Bytes as they are hashed: ASCII letters and all of a multi-byte character as they are, the rest a word end.
@@ -130,11 +133,21 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     model.temperature = float(min(np.geomspace(0.05, 20, 61), key=lambda t: -np.log(np.maximum(softmax(z / t)[right], 1e-12)).mean()))
     p = softmax(z / model.temperature)
     score, hit = p.max(axis=1), p.argmax(axis=1) == y[held]
+    model.accept = threshold(score, hit)
+    return model
+
+
+def threshold(score: np.ndarray, hit: np.ndarray) -> float:
+    """The score from which held-back rows reach ``ACCEPT_PRECISION``, or ``ACCEPT_FROM`` where errors do not gather at low scores."""
     by = np.argsort(-score, kind="stable")
     good = np.flatnonzero(np.cumsum(hit[by]) >= ACCEPT_PRECISION * np.arange(1, len(by) + 1))
-    lowest = float(score[by][good[-1]]) if len(good) else 1.0
-    model.accept = ACCEPT_FROM if not len(good) or good[-1] == len(by) - 1 else max(ACCEPT_FROM, lowest)
-    return model
+    if not len(good) or good[-1] == len(by) - 1:
+        return ACCEPT_FROM
+    lowest = max(ACCEPT_FROM, float(score[by][good[-1]]))
+    rejected = (score < lowest) & (score >= ACCEPT_FROM)
+    if rejected.sum() > REJECTED_SHARE * len(score) and hit[rejected].mean() > 0.5:
+        return ACCEPT_FROM
+    return lowest
 
 
 def held_out(doc_id) -> "F.Column":

@@ -99,6 +99,27 @@ def test_language_of_odd_rows(odd, odd_rows, clashing, empty):
     assert language.keep_identified(empty).count() == 0 and language.keep_identified(clashing).columns == clashing.columns
 
 
+def test_wrong_labels_do_not_reject_clean_texts():
+    rng = np.random.default_rng(3)
+    score = rng.uniform(0.6, 1, 1000)
+    hit = rng.random(1000) >= 0.05  # whatever the score
+    hit[np.argsort(-score)[:20]] = True
+    assert language.threshold(score, hit) == language.ACCEPT_FROM
+    low = score < 0.65
+    assert 0.62 < language.threshold(score, ~low) < 0.7  # errors gather at low scores: they go
+
+
+def test_model_of_wrong_labels_accepts_clean_texts():
+    rng = np.random.default_rng(5)
+    truth = rng.integers(0, 3, 1500)
+    texts = [" ".join("".join(rng.choice(list(["abcdefgh", "ijklmnop", "qrstuvwx"][k]), 6)) for _ in range(12)) for k in truth]
+    labels = np.where(rng.random(1500) < 0.06, rng.integers(0, 3, 1500), truth)
+    model = language.train(texts, [f"l{k}" for k in labels])
+    data = [t.encode() for t in texts]
+    best, score = model.predict(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+    assert (best == truth).mean() > 0.99 and (score >= model.accept).mean() > 0.95
+
+
 @here
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "lang")
