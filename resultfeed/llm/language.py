@@ -8,8 +8,9 @@ on rows kept out of training calibrates the probabilities, and the same rows set
 a prediction is rejected; where that would reject mostly right ones (labels that are wrong whatever the
 score), it is ``ACCEPT_FROM``.  Prediction is a map over all rows: no shuffle, and whole texts in pieces.
 
-Documented bound: at most about ``PER_LANGUAGE`` texts of at most ``SAMPLE_BYTES`` bytes are drawn for
-each language, by a hash of the id (ties and repeated ids come or stay together).
+Documented bound: at most ``PER_LANGUAGE`` texts of at most ``SAMPLE_BYTES`` bytes are drawn for each
+language, by a hash of id and text; repeated rows count once.  The driver gets at most ``SAMPLE_ROWS`` texts:
+with many languages each has an equal part of them.  More than ``LANGUAGES`` labels are refused.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0 and rejected; no labelled
 rows at all: every text is ``und``; one language only: that one, with score 1.  Other columns pass
@@ -23,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,9 @@ from .common import free_name, read_table
 
 BITS, DIMENSIONS, ORDERS = 16, 16, (1, 2, 3, 4)
 PER_LANGUAGE, SAMPLE_BYTES = 800, 200_000
+SAMPLE_ROWS, LANGUAGES = 40_000, 400
+#: Drawn by hash beyond the limit, since rows are counted by a sketch; the limit itself is exact.
+SPARE = 1.25
 EPOCHS, RATE, BATCH, CALIBRATION = 5, 2.0, 16, 5
 ACCEPT_FROM, ACCEPT_PRECISION = 0.5, 0.99
 #: A threshold that rejects a larger share must reject at least as many wrong predictions as right ones.
@@ -157,13 +161,18 @@ def held_out(doc_id) -> "F.Column":
 def fit(docs: DataFrame) -> Model:
     """A model from the labelled rows that are not held out."""
     usable = docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    # not read: the text, hence a scan of two columns
-    counts = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.count(F.lit(1))).collect()}
+    usable = usable.where(F.octet_length("text") <= SAMPLE_BYTES).where(F.col("text").rlike(r"\p{L}")).select("text", "lang", F.xxhash64("doc_id", "text").alias("at"))
+    counts = {r[0]: r[1] for r in usable.groupBy("lang").agg(F.approx_count_distinct("at")).limit(LANGUAGES + 1).collect()}
     if not counts:
         return train([], [])
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, PER_LANGUAGE / n))) for k, n in sorted(counts.items())])
-    drawn = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).where(F.octet_length("text") <= SAMPLE_BYTES).where(F.col("text").rlike(r"\p{L}"))
-    sample = drawn.select("text", "lang", F.xxhash64("doc_id", "text").alias("at")).toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"More than {LANGUAGES} values of lang")
+    most = min(PER_LANGUAGE, SAMPLE_ROWS // len(counts))
+    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, SPARE * most / max(n, 1)))) for k, n in sorted(counts.items())])
+    # other bits than those of ``at`` itself, by which the first rows are taken
+    drawn = usable.where(F.pmod(F.xxhash64("at"), F.lit(1 << 30)) < share * (1 << 30)).groupBy("lang", "at").agg(F.first("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at"))
+    sample = drawn.withColumn("place", place).where(F.col("place") <= most).select("text", "lang", "at").toArrow().sort_by([("at", "ascending"), ("lang", "ascending")])
     return train(sample.column("text").to_pylist(), sample.column("lang").to_pylist())
 
 

@@ -2,6 +2,7 @@
 
 import os
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -120,6 +121,20 @@ def test_model_of_wrong_labels_accepts_clean_texts():
     assert (best == truth).mean() > 0.99 and (score >= model.accept).mean() > 0.95
 
 
+def test_draw_is_bounded(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(language, "PER_LANGUAGE", 50)
+    monkeypatch.setattr(language, "train", lambda texts, labels: seen.update(n=Counter(labels), texts=Counter(texts)))
+    ids = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rows = [(ids[0] if i % 3 else ids[i % len(ids)], f"word number {chr(97 + i % 26)} {i}", ["en", "de"][i % 2]) for i in range(3000)]
+    rows += [(ids[5], "one text again", "en")] * 500
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert seen["n"] == {"en": 50, "de": 50} and max(seen["texts"].values()) == 1
+    monkeypatch.setattr(language, "LANGUAGES", 1)
+    with pytest.raises(ValueError, match="lang"):
+        language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+
+
 @here
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "lang")
