@@ -10,8 +10,8 @@ the text's bytes; sections are spans of the text as well; the interval join of t
 sorted bounds.  The explicit rule for a token that crosses a boundary: it belongs to the section in which
 its first byte lies.  So the counts of a document's sections add up to its tokens.
 
-Defined cases: a null or empty text has no section and no row (``section_counts``), and zero tokens in
-``op9``; empty lines belong to the section before; other columns pass through, with results under a free
+Defined cases: a null or empty text has no section and no row (``section_counts``), and in ``op9`` a row
+without section, with zero bytes and tokens; empty lines belong to the section before; other columns pass through, with results under a free
 name where the input has one of theirs.
 """
 
@@ -124,8 +124,11 @@ def attribute(token_ends: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     return counts, over
 
 
-def section_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = None, ranks: str | None = None) -> tuple[DataFrame, dict[str, str]]:
-    """One row per section: ``docs``'s columns without the text, section, start_byte, n_bytes, n_tokens, crosses."""
+def section_counts(docs: DataFrame, text: str = "text", vocabulary: str | None = None, ranks: str | None = None, every_row: bool = False) -> tuple[DataFrame, dict[str, str]]:
+    """One row per section: ``docs``'s columns without the text, section, start_byte, n_bytes, n_tokens, crosses.
+
+    With ``every_row`` a text without sections gives a row too: no section and start, zero bytes and tokens.
+    """
     keep = [f for f in docs.schema.fields if f.name != text]
     names: dict[str, str] = {}
     for c in ("section", "start_byte", "n_bytes", "n_tokens", "crosses"):
@@ -139,6 +142,9 @@ def section_counts(docs: DataFrame, text: str = "text", vocabulary: str | None =
                 row, parts = [], []
                 for i, t in enumerate(piece.column(text).to_pylist()):
                     if not t:
+                        if every_row:
+                            row.append(np.array([i]))
+                            parts.append((np.array([-1]), np.array([-1]), np.array([0]), np.array([0]), np.array([False])))
                         continue
                     data = t.encode()
                     starts = section_bounds(data)
@@ -146,7 +152,8 @@ def section_counts(docs: DataFrame, text: str = "text", vocabulary: str | None =
                     row.append(np.full(len(starts), i))
                     parts.append((np.arange(len(starts)), starts, np.diff(np.append(starts, len(data))), counts, over))
                 if row:
-                    columns = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+                    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+                    columns = [pa.array(x, mask=columns[0] < 0) for x in columns[:2]] + [pa.array(x) for x in columns[2:]]
                     chosen = piece.select([f.name for f in keep]).take(pa.array(np.concatenate(row)))
                     yield appended(chosen, dict(zip(names.values(), columns, strict=True)))
 
@@ -154,6 +161,6 @@ def section_counts(docs: DataFrame, text: str = "text", vocabulary: str | None =
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
-    """Token counts of every section of every document."""
-    out, _ = section_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Token counts of every section of every document; a document without text has one row of zero tokens."""
+    out, _ = section_counts(read_table(spark, sf_dir, "documents").select("doc_id", "text"), every_row=True)
     return out

@@ -55,6 +55,15 @@ def test_sections_of_odd_rows(odd, odd_rows, plain, clashing, empty):
     assert names["section"] != "section" and more.count() == out.count()
 
 
+def test_op9_has_every_document(spark, tmp_path):
+    rows = [(1, "a b\n\nc"), (2, None), (3, ""), (4, " \n"), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    out = tokens.op9(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.section, r.start_byte, r.n_bytes) for r in out if r.doc_id in (1, 4)) == [(1, 0, 0, 5), (1, 1, 5, 1), (4, 0, 0, 2)]
+    for i in (2, 3, 5):
+        assert [tuple(r) for r in out if r.doc_id == i] == [(i, None, None, 0, 0, False)]
+
+
 def test_attribution_by_brute_force():
     rng = random.Random(2)
     tool = tokens.encoder()
