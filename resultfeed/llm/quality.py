@@ -167,7 +167,7 @@ def judge(docs: DataFrame, text: str = "text", keep_columns: list[str] | None =
     named = {free_name(keep, f"vote_{k}"): v for k, v in rules().items()}
     voted = cut(counted(docs, keep, text).withColumns(named))
     names = list(named)
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.where(~base_failed()).groupBy(*names).agg(F.count(F.lit(1)).alias(free_name(names, "n"))).orderBy(*names).collect()]
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias(free_name(names, "n"))).orderBy(*names).collect()]
     good, right = fit(patterns) if patterns else (START_GOOD, [(START_ACCURACY, START_ACCURACY)] * len(names))
     out = voted.withColumn("quality", posterior([F.col(c) for c in names], good, right)).withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).drop(*names)

@@ -104,6 +104,13 @@ def test_counts_of_odd_rows(odd, odd_rows, clashing, empty):
     assert quality.judge(empty).count() == 0
 
 
+def test_em_sees_all_documents(odd, odd_rows, monkeypatch):
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda patterns: seen.extend(patterns) or fit(patterns))
+    rows = quality.judge(odd, keep_columns=["doc_id"]).collect()
+    assert any(r.base_failed for r in rows) and sum(n for _, n in seen) == len(odd_rows)
+
+
 def test_em_finds_the_better_rules():
     import random
 
