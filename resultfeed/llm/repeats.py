@@ -4,21 +4,26 @@ Every window of 100 bytes has a smallest 32-byte gram (by hash); equal windows h
 fall into runs that share their gram, some 37 bytes a run, and only runs with equal grams need comparing.
 
 1. Each task hashes its documents in pieces, cuts the windows into runs, and drops runs whose gram and
-   whole content occurred earlier in the task: they are removed whatever other tasks hold.  So a passage
-   that a third of all documents share leaves a task once, not once per document.
-2. Runs meet by gram, packed in binary blocks.  A run with a gram of its own is done.  Equal runs: all but the
-   earliest are removed.  Runs with equal grams and different contents are open.
+   whole content occurred earlier in the task (their bytes are compared there): they are removed whatever other
+   tasks hold.  So a passage that a third of all documents share leaves a task once, not once per document.
+2. Runs meet by gram, packed in binary blocks, in a tree: at most ``FAN`` tasks' runs of a gram meet at once, and
+   of a gram with more than ``MANY`` contents only a mark goes on.  A run with a gram of its own is done.  Of runs
+   with equal hashes all but the earliest are claimed to be copies of it.  Runs with equal grams and different
+   contents are open.
 3. The texts of open runs are fetched and sorted: suffixes at their window starts, by the hash-compared
    mergesort of ``suffixes``, in buckets of one gram at one place.  A window equal to its predecessor is removed;
    bytes are compared, so that a hash collision removes nothing.
-4. A gram with very many different runs (a short line that very many documents have) is not gathered: a task that
-   sees many sends a mark instead, and all windows of marked grams meet by 128-bit hash, where the
-   earliest is found by a sum that is combined before the shuffle.
-
-Rows are numbered once and stored with their numbers; every later scan reads that table.
-Order is that of (doc_id, row, start).  Defined cases: a null text is empty; null ids come last; rows of
-one id are ordered as numbered; texts shorter than 100 bytes lose nothing; equal rows are copies: the first
-stays.
+4. A gram with very many different runs (a short line that very many documents have) is not gathered.  Its
+   windows are sorted in each task, then the earliest of each meet by window hash, again in a tree, and are
+   sorted by the same mergesort.
+5. Claims are verified by bytes: neighbouring ones are joined to ranges, the texts of targets and sources are fetched
+   with those of open runs, and the least and the greatest content of each source range must be equal.  If ever
+   they are not, two contents had one hash, and everything is done again with another seed.
+
+So no byte is removed on a hash alone.  Rows are numbered once and stored with their numbers; every later
+scan reads that table.  Order is that of (doc_id, row, start).  Defined cases: a null text is empty; null ids come
+last; rows of one id are ordered as numbered; texts shorter than 100 bytes lose nothing; equal rows are copies: the
+first stays.
 ``dedup`` drops the halves of characters that a removal cuts through, and rows that end up empty.
 """
 
@@ -29,13 +34,14 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import appended, frugal, pieces, utf8
+from .arrays import PIECE_BYTES, appended, frugal, pieces, utf8
 from .common import numbered, read_table, stored
-from .suffixes import Text, mixed, repeated
+from .suffixes import Text, equal_ranges, mixed, repeated
 
 WINDOW, GRAM = 100, 32
 #: Bytes hashed at once, and windows in one run at most.
@@ -44,11 +50,22 @@ PART_BYTES, RUN_WINDOWS = (1 << 20) - 128, 255
 LOCAL_BYTES = 32 << 20
 #: Different runs of one gram beyond which it is marked, in a task and where runs meet.
 MANY_LOCAL, MANY = 32, 512
+#: Tasks whose runs meet at once; with more tasks there are more levels.
+FAN = 1024
+#: Claims are joined to ranges that do not cross multiples of this in their source.
+CLAIM_BYTES = 1024
+#: Seeds of the hashes, tried in turn until no claim is refuted by bytes.
+SEEDS = (1, 2, 3, 4)
 LAST_ID = (1 << 63) - 1
 
 #: What is packed of a run: gram and content hashes, order, place, windows, and whether its gram recurs in it.
 RUN = np.dtype([("gram", "<u8"), ("whole", "<u8"), ("key", "<i8"), ("rid", "<i8"), ("lo", "<i8"), ("n", "<i4"), ("again", "?")])
 MARK = 0  # number of windows of a mark row
+#: kind REMOVED: windows lo..lo+n-1 are removed; OPEN: open run; MARKED: open run of a marked gram; CLAIM: windows that
+#: are claimed to equal those from slo on in text srid.
+REMOVED, OPEN, MARKED, CLAIM = 0, 1, 2, 3
+DECIDED = np.dtype([("kind", "<i4"), ("rid", "<i8"), ("lo", "<i8"), ("n", "<i4"), ("gram", "<i8"), ("key", "<i8"), ("srid", "<i8"), ("slo", "<i8")])
+FOUND = "kind int, rid long, lo long, n int, gram long, key long, srid long, slo long"
 
 
 def _slide(x: np.ndarray, width: int, of) -> np.ndarray:
@@ -60,14 +77,14 @@ def _slide(x: np.ndarray, width: int, of) -> np.ndarray:
     return of(x[: len(x) - (width - step)], x[width - step :]) if width > step else x
 
 
-def runs_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs_of(data: np.ndarray, bounds: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of the texts in ``data``: text, start, windows, gram hash, content hash, recurring gram."""
     width = WINDOW - GRAM + 1
     n = len(data) - WINDOW + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none.astype(bool)
-    text = Text(data)
+    text = Text(data, seed)
     gram = text.grams(GRAM)
     least = _slide(gram, width, np.minimum)
     size = np.diff(bounds)
@@ -113,9 +130,9 @@ def _grouped(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, other
 
 
-def _split(runs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _split(runs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all runs: is a later copy; is the first of its content; different contents of its gram; a mark or
-    more than ``most`` contents with its gram."""
+    more than ``most`` contents with its gram; the first of its content."""
     order, new, other = _grouped(runs)
     group = np.cumsum(new) - 1
     marks = runs["n"][order] == MARK
@@ -127,20 +144,19 @@ def _split(runs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     first[order] = other & ~marks
     open_[order] = ((contents > 1) | again | hot)[group]
     many[order] = hot[group]
-    return copy, first, open_, many
-
-
-#: Rows between steps 2 and 3.  kind 0: windows lo..lo+n-1 are removed; 1: open run; 2: open run of a marked gram.
-REMOVED, OPEN, MARKED = 0, 1, 2
-FOUND = "rid long, kind int, lo long, n int, gram long, key long"
-
-
-def _found(kind: int, runs: np.ndarray) -> pa.RecordBatch:
-    same = lambda v, t: pa.array(np.full(len(runs), v), t)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(runs["rid"]), same(kind, pa.int32()), pa.array(runs["lo"]), pa.array(runs["n"]), pa.array(np.ascontiguousarray(runs["gram"]).view(np.int64)), pa.array(runs["key"])],
-        names=["rid", "kind", "lo", "n", "gram", "key"],
-    )
+    leader = np.zeros(len(runs), np.int64)
+    leader[order] = order[np.maximum.accumulate(np.where(other, np.arange(len(order)), 0))]
+    return copy, first, open_, many, leader
+
+
+def _decided(kind: int, runs: np.ndarray, source: np.ndarray | None = None) -> np.ndarray:
+    out = np.zeros(len(runs), DECIDED)
+    out["kind"], out["gram"] = kind, np.ascontiguousarray(runs["gram"]).view(np.int64)
+    for c in ("rid", "lo", "n", "key"):
+        out[c] = runs[c]
+    if source is not None:
+        out["srid"], out["slo"] = source["rid"], source["lo"]
+    return out
 
 
 def _joined(runs: np.ndarray) -> np.ndarray:
@@ -156,32 +172,46 @@ def _joined(runs: np.ndarray) -> np.ndarray:
     return out
 
 
-BLOCKS = "bucket int, runs binary"
+BLOCKS = "bucket int, part int, runs binary"
 
 
-def _packed(runs: np.ndarray, bucket: np.ndarray):
+def _packed(runs: np.ndarray, bucket: np.ndarray, part: int) -> pa.RecordBatch:
     order = np.argsort(bucket, kind="stable")
     runs, bucket = runs[order], bucket[order]
     edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
     # column by column: neighbours are alike, and shuffles compress
-    blobs = [b"".join(np.ascontiguousarray(part[c]).tobytes() for c in RUN.names) for part in np.split(runs, edge[1:])] if len(edge) else []
-    yield pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "runs"])
+    blobs = [b"".join(np.ascontiguousarray(some[c]).tobytes() for c in runs.dtype.names) for some in np.split(runs, edge[1:])] if len(edge) else []
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge].astype(np.int32)), pa.array(np.full(len(edge), part, np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "part", "runs"])
 
 
-def _unpacked(blob: bytes) -> np.ndarray:
-    n = len(blob) // sum(RUN[c].itemsize for c in RUN.names)
-    out, at = np.empty(n, RUN), 0
-    for c in RUN.names:
-        out[c] = np.frombuffer(blob, RUN[c], n, at)
-        at += n * RUN[c].itemsize
+def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n = len(blob) // sum(kind[c].itemsize for c in kind.names)
+    out, at = np.empty(n, kind), 0
+    for c in kind.names:
+        out[c] = np.frombuffer(blob, kind[c], n, at)
+        at += n * kind[c].itemsize
     return out
 
 
-def _local(buckets: int):
-    """Step 1 for one task: blocks of runs, bucket < ``buckets`` by gram; from there on decided runs, by text."""
+def _blocks(runs: np.ndarray, decided: list[np.ndarray], buckets: int, part: int) -> list[pa.RecordBatch]:
+    """Blocks of runs, bucket < ``buckets`` by gram; from there on what is decided, by text."""
+    number = lambda x: (mixed(x) % np.uint64(buckets)).astype(np.int64)
+    done = np.concatenate(decided)
+    return [_packed(runs, number(runs["gram"]), part), _packed(done, number(done["rid"].astype(np.uint64)) + buckets, part)]
 
-    def hashed(piece):
-        data, bounds = utf8(piece.column("text"))
+
+def _marked(runs: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What goes on by gram (runs, and a mark for each marked gram), and the runs of marked grams."""
+    hot = runs[first & many]
+    marks = runs[many][np.unique(runs["gram"][many], return_index=True)[1]].copy()
+    marks["n"] = MARK
+    return np.concatenate([runs[first & ~many], marks]), hot
+
+
+def _local(buckets: int, seed: int):
+    """Step 1 for one task."""
+
+    def hashed(piece, data, bounds):
         rid, key = piece.column("rid").to_numpy(), piece.column("key").to_numpy()
         for first in range(0, max(len(data), 1), PART_BYTES):
             # windows that start in this part; a text is hashed with what its last windows need behind it
@@ -190,147 +220,237 @@ def _local(buckets: int):
             a = int(np.searchsorted(bounds, first, "right") - 1)
             b = int(np.searchsorted(bounds, stop, "left"))
             own = np.clip(bounds[a : b + 1], first, stop) - first
-            doc, lo, n, gram, whole, again = runs_of(data[first:stop], own)
+            doc, lo, n, gram, whole, again = runs_of(data[first:stop], own, seed)
             out = np.empty(len(doc), RUN)
             out["gram"], out["whole"], out["n"], out["again"] = gram, whole, n, again
             out["lo"] = lo + own[doc] + first - bounds[a + doc]
             out["rid"], out["key"] = rid[a + doc], key[a + doc]
-            # the bytes behind the part belong to the next one
-            yield out[out["lo"] + bounds[a + doc] < last]
+            place = out["lo"] + bounds[a + doc]
+            mine = place < last  # the bytes behind the part belong to the next one
+            yield out[mine], place[mine]
 
-    def passed(held):
-        runs = np.concatenate(held)
+    def passed(held, places, texts):
+        if not held:
+            return
+        runs, place, data = np.concatenate(held), np.concatenate(places), np.concatenate(texts)
         if not len(runs):
             return
-        copy, first, _, many = _split(runs, MANY_LOCAL)
-        gone = _joined(runs[copy])
-        stay, marked = runs[first & ~many], runs[first & many]
-        marks = marked[np.unique(marked["gram"], return_index=True)[1]].copy()
-        marks["n"] = MARK
-        marked["whole"] = MARKED
-        gone["whole"] = REMOVED
-        by_gram = np.concatenate([stay, marks])
-        by_text = np.concatenate([gone, marked])
-        number = lambda x: (mixed(x) % np.uint64(buckets)).astype(np.int64)
-        yield from _packed(by_gram, number(by_gram["gram"]))
-        yield from _packed(by_text, number(by_text["rid"].astype(np.uint64)) + buckets)
+        copy, first, _, many, leader = _split(runs, MANY_LOCAL)
+        at = np.flatnonzero(copy)
+        good = runs["n"][at] == runs["n"][leader[at]]
+        good[good] = equal_ranges(data, place[at[good]], place[leader[at[good]]], runs["n"][at[good]].astype(np.int64) + WINDOW - 1)
+        first[at[~good]] = True  # refuted by bytes: goes on, is claimed where runs meet, and refuted there again
+        on, hot = _marked(runs, first, many)
+        gone = _joined(runs[at[good]])
+        yield from _blocks(on, [_decided(REMOVED, gone), _decided(MARKED, hot)], buckets, TaskContext.get().partitionId())
 
     def run(batches):
-        held, size = [np.zeros(0, RUN)], 0
+        held, places, texts, size = [], [], [], 0
         for batch in batches:
             for piece in pieces(batch, "text"):
-                for out in hashed(piece):
-                    held.append(out)
-                size += int(pc.sum(pc.binary_length(piece.column("text"))).as_py() or 0)
+                data, bounds = utf8(piece.column("text"))
+                for out, place in hashed(piece, data, bounds):
+                    held.append(out), places.append(place + size)
+                texts.append(data)
+                size += len(data)
                 if size >= LOCAL_BYTES:
-                    yield from passed(held)
-                    held, size = [np.zeros(0, RUN)], 0
-        yield from passed(held)
+                    yield from passed(held, places, texts)
+                    held, places, texts, size = [], [], [], 0
+        yield from passed(held, places, texts)
 
     return run
 
 
-def _meet(buckets: int):
-    """Step 2 for one bucket of runs."""
+def _meet(buckets: int, last: bool):
+    """Step 2 for one bucket of runs of some tasks: blocks for the next level, or what is found at the last one."""
 
     def run(table: pa.Table) -> pa.Table:
-        runs = np.concatenate([_unpacked(b) for b in table.column("runs").to_pylist()])
-        if table.column("bucket")[0].as_py() >= buckets:
-            parts = [(kind, runs[runs["whole"] == kind]) for kind in (REMOVED, MARKED)]
+        bucket, part = table.column("bucket")[0].as_py(), table.column("part")[0].as_py() // FAN
+        if bucket >= buckets:
+            done = np.concatenate([_unpacked(b, DECIDED) for b in table.column("runs").to_pylist()])
+            on = np.zeros(0, RUN)
         else:
-            copy, first, open_, many = _split(runs, MANY)
-            parts = [(REMOVED, _joined(runs[copy])), (OPEN, runs[first & open_ & ~many]), (MARKED, runs[first & many])]
-        return pa.Table.from_batches([_found(kind, part) for kind, part in parts])
+            runs = np.concatenate([_unpacked(b, RUN) for b in table.column("runs").to_pylist()])
+            copy, first, open_, many, leader = _split(runs, MANY)
+            claims = _decided(CLAIM, runs[copy], runs[leader[copy]])
+            on, hot = _marked(runs, first, many)
+            done = np.concatenate([claims, _decided(MARKED, hot)])
+            if last:
+                done = np.concatenate([done, _decided(OPEN, runs[first & open_ & ~many])])
+        if last:
+            return pa.table({c: done[c] for c in DECIDED.names})
+        return pa.Table.from_batches(_blocks(on, [done], buckets, part))
 
     return run
 
 
 def _contents(batches):
-    """Texts with their open runs -> a row per run with its bytes."""
+    """Texts with slices to fetch -> a row per slice with its bytes."""
     for batch in batches:
         for piece in pieces(batch, "text"):
-            texts, lists = piece.column("text").cast(pa.large_binary()), piece.column("open")
+            texts, lists = piece.column("text").cast(pa.large_binary()), piece.column("slices")
             of = np.repeat(np.arange(piece.num_rows), np.asarray(pc.list_value_length(lists)))
             flat = lists.flatten()
             lo, n = flat.field("lo").to_numpy(), flat.field("n").to_numpy()
             bytes_of = texts.to_pylist()
-            content = [bytes_of[i][a : a + k + WINDOW - 1] for i, a, k in zip(of.tolist(), lo.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [flat.field("gram"), flat.field("kind"), flat.field("key"), piece.column("rid").take(pa.array(of)), flat.field("lo"), flat.field("n"), pa.array(content, pa.binary())],
-                names=["gram", "kind", "key", "rid", "lo", "n", "content"],
-            )
+            # many slices of a long text come in several batches
+            for a in range(0, len(of), 1 << 16):
+                b = min(a + (1 << 16), len(of))
+                content = [bytes_of[i][x : x + k + WINDOW - 1] for i, x, k in zip(of[a:b].tolist(), lo[a:b].tolist(), n[a:b].tolist(), strict=True)]
+                part = flat.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*[part.field(c) for c in ("kind", "lo", "n", "gram", "key", "srid", "slo")], piece.column("rid").take(pa.array(of[a:b])), pa.array(content, pa.binary())], names=["kind", "lo", "n", "gram", "key", "srid", "slo", "rid", "content"])
 
 
-CONTENTS = "gram long, kind int, key long, rid long, lo long, n int, content binary"
+CONTENTS = "kind int, lo long, n int, gram long, key long, srid long, slo long, rid long, content binary"
 
 
-def _sorted_out(table: pa.Table) -> pa.Table:
-    """Step 3 for some grams: the windows that equal an earlier one with the same gram."""
-    columns = {c: table.column(c).to_numpy() for c in ("gram", "key", "rid", "lo", "n")}
-    order = np.lexsort((columns["lo"], columns["rid"], columns["key"]))
-    columns = {c: v[order] for c, v in columns.items()}
-    data, bounds = utf8(table.column("content").combine_chunks().take(pa.array(order)))
-    text, n, total = Text(data), columns["n"].astype(np.int64), int(columns["n"].sum())
+def _rows_of(gone: np.ndarray, rid: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+    """Removed windows as ranges: rid, lo, n."""
+    rid, at = rid[gone], at[gone]
+    order = np.lexsort((at, rid))
+    rid, at = rid[order], at[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (rid[1:] != rid[:-1]) | (at[1:] != at[:-1] + 1)
+    edge = np.flatnonzero(new)
+    return {"rid": rid[edge], "lo": at[edge], "n": np.diff(np.append(edge, len(at))).astype(np.int32)}
+
+
+GONE = "rid long, lo long, n int"
+
+
+def _sort_runs(content: pa.Array, gram_of: np.ndarray, n: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of runs that stand in the order of documents: run, offset, whether an equal one stands earlier,
+    and the bytes of all runs' windows as (data, start) for further use."""
+    data, bounds = utf8(content)
+    text, total = Text(data, seed), int(n.sum())
     row = np.repeat(np.arange(len(n)), n)
-    starts = bounds[:-1][row] + np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    offset = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
+    starts = bounds[:-1][row] + offset
     # the place of the gram in each window: its next occurrence from the window's start on
     gram = text.grams(GRAM)
     owner = np.searchsorted(bounds, np.arange(len(gram)), "right") - 1
-    spots = np.flatnonzero(gram.view(np.int64) == columns["gram"][owner])
+    spots = np.flatnonzero(gram.view(np.int64) == gram_of[owner])
     place = spots[np.searchsorted(spots, starts)] - starts
     # buckets: gram and place; ties stay in the order of documents
-    gram_id = np.unique(columns["gram"], return_inverse=True)[1][row]
-    bucket = gram_id * (WINDOW + 1) + place
+    bucket = np.unique(gram_of, return_inverse=True)[1][row] * (WINDOW + 1) + place
     by = np.argsort(bucket, kind="stable")
     gone = np.zeros(total, bool)
     gone[by] = repeated(text, starts[by], bucket[by], WINDOW)
-    at = np.flatnonzero(gone)
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]])
-    edge = np.flatnonzero(new)
-    out = np.zeros(len(edge), RUN)
-    first = at[edge]
-    out["rid"], out["lo"] = columns["rid"][row[first]], columns["lo"][row[first]] + starts[first] - bounds[:-1][row[first]]
-    out["n"] = np.diff(np.append(edge, len(at)))
-    return pa.Table.from_batches([_found(REMOVED, out)]).select(["rid", "kind", "lo", "n"])
+    return row, offset, gone, starts
 
 
-def _windows(batches):
-    """Step 4: each window of runs with a marked gram, as two hashes."""
-    for batch in batches:
-        for piece in pieces(batch, "content"):
-            data, bounds = utf8(piece.column("content"))
-            n = piece.column("n").to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(n)), n)
-            offset = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            starts = bounds[:-1][row] + offset
-            w1, w2 = (Text(data, seed).hash(starts, starts + WINDOW).view(np.int64) for seed in (1, 2))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), piece.column("key").take(take), piece.column("rid").take(take), pa.array(piece.column("lo").to_numpy()[row] + offset)], names=["w1", "w2", "key", "rid", "at"])
+def _chunks(key: np.ndarray, size: np.ndarray, most: int):
+    """Ranges of rows, cut where ``key`` (sorted) changes, of about ``most`` bytes."""
+    total, start = np.cumsum(size), 0
+    edge = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    while start < len(key):
+        want = (total[start - 1] if start else 0) + most
+        k = np.searchsorted(edge, max(start + 1, int(np.searchsorted(total, want, "right"))))
+        end = int(edge[min(k, len(edge) - 1)])
+        yield start, end
+        start = end
+
+
+def _sorted_out(seed: int):
+    """Step 3 for some grams: the windows that equal an earlier one with the same gram."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("gram", "key", "rid", "lo", "n")}
+        order = np.lexsort((columns["lo"], columns["rid"], columns["key"], columns["gram"]))
+        columns = {c: v[order] for c, v in columns.items()}
+        content, out = table.column("content").combine_chunks(), []
+        for a, b in _chunks(columns["gram"], columns["n"] + WINDOW - 1, PIECE_BYTES):
+            part = {c: v[a:b] for c, v in columns.items()}
+            row, offset, gone, _ = _sort_runs(content.take(pa.array(order[a:b])), part["gram"], part["n"].astype(np.int64), seed)
+            out.append(_rows_of(gone, part["rid"][row], part["lo"][row] + offset))
+        return pa.table({c: np.concatenate([o[c] for o in out]) for c in ("rid", "lo", "n")})
+
+    return run
+
+
+#: Step 4: windows of marked grams on their way, and ranges that are removed (n > 0, no window).
+WINDOWS = "w long, part int, key long, rid long, lo long, n int, window binary"
+
+
+def _window_rows(gone: dict[str, np.ndarray], w, key, rid, at, window: np.ndarray, part: int) -> pa.RecordBatch:
+    """Removed ranges (by text) and windows that go on (by their hash)."""
+    k, m = len(gone["rid"]), len(rid)
+    one = lambda a, b, t: pa.array(np.concatenate([a, b]).astype(t))
+    offsets = np.concatenate([np.zeros(k, np.int32), np.arange(m + 1, dtype=np.int32) * WINDOW])
+    binary = pa.Array.from_buffers(pa.binary(), k + m, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(window))])
+    return pa.RecordBatch.from_arrays(
+        [one(mixed(gone["rid"].astype(np.uint64)).view(np.int64), w, np.int64), pa.array(np.full(k + m, part, np.int32)), one(np.zeros(k), key, np.int64), one(gone["rid"], rid, np.int64), one(gone["lo"], at, np.int64), one(gone["n"], np.zeros(m), np.int32), binary],
+        names=["w", "part", "key", "rid", "lo", "n", "window"],
+    )
+
+
+def _windows(seed: int):
+    """Step 4 in a task: sorts the windows of its marked runs, and sends the earliest of each on."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        for batch in batches:
+            for piece in pieces(batch, "content"):
+                columns = {c: piece.column(c).to_numpy() for c in ("gram", "key", "rid", "lo", "n")}
+                order = np.lexsort((columns["lo"], columns["rid"], columns["key"]))
+                columns = {c: v[order] for c, v in columns.items()}
+                content = piece.column("content").take(pa.array(order))
+                row, offset, gone, starts = _sort_runs(content, columns["gram"], columns["n"].astype(np.int64), seed)
+                data, _ = utf8(content)
+                rid, at = columns["rid"][row], columns["lo"][row] + offset
+                stay = np.flatnonzero(~gone)
+                w = Text(data, seed + 100).hash(starts[stay], starts[stay] + WINDOW).view(np.int64)
+                window = np.lib.stride_tricks.sliding_window_view(data, WINDOW)
+                ranges = _rows_of(gone, rid, at)
+                for a in range(0, max(len(stay), 1), 1 << 16):
+                    some = slice(a, a + (1 << 16))
+                    yield _window_rows(ranges if not a else {c: v[:0] for c, v in ranges.items()}, w[some], columns["key"][row[stay[some]]], rid[stay[some]], at[stay[some]], window[starts[stay[some]]], part)
 
+    return run
 
-FIRST = 3  # kind of a window of a marked gram that is the earliest
 
+def _windows_meet(last: bool, seed: int):
+    """Step 4 where windows of some tasks meet: windows that equal an earlier one; the others go on."""
 
-def marked_bytes(size: int, kind: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Which of ``size`` bytes are covered by a removed window."""
-    windows = np.zeros(size + 1, np.int64)
+    def run(table: pa.Table) -> pa.Table:
+        columns = {c: table.column(c).to_numpy() for c in ("w", "key", "rid", "lo", "n")}
+        done = columns["n"] > 0
+        out = [{c: columns[c][done] for c in ("rid", "lo", "n")}]
+        order = np.flatnonzero(~done)
+        order = order[np.lexsort(tuple(columns[c][order] for c in ("lo", "rid", "key", "w")))]
+        window = table.column("window").combine_chunks()
+        on = np.zeros(len(order), bool)
+        for a, b in _chunks(columns["w"][order], np.full(len(order), WINDOW), PIECE_BYTES // 2):
+            at = order[a:b]
+            by = at[np.lexsort(tuple(columns[c][at] for c in ("lo", "rid", "key")))]
+            data, _ = utf8(window.take(pa.array(by)))
+            # a first pass of the sort by eight bytes, the mergesort within
+            starts = np.arange(len(by)) * WINDOW
+            head = data.reshape(-1, WINDOW)[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
+            near = np.argsort(head, kind="stable")
+            gone = np.zeros(len(by), bool)
+            gone[near] = repeated(Text(data, seed), starts[near], head[near], WINDOW)
+            out.append(_rows_of(gone, columns["rid"][by], columns["lo"][by]))
+            on[a:b] = ~gone
+            order[a:b] = by
+        ranges = {c: np.concatenate([o[c] for o in out]) for c in ("rid", "lo", "n")}
+        if last:
+            return pa.table(ranges)
+        left = order[on]
+        data, _ = utf8(window.take(pa.array(left)))
+        return pa.Table.from_batches([_window_rows(ranges, columns["w"][left], columns["key"][left], columns["rid"][left], columns["lo"][left], data, table.column("part")[0].as_py() // FAN)])
 
-    def over(at, count):
-        out = np.zeros(size + 1, np.int64)
-        np.add.at(out, at, 1)
-        np.add.at(out, at + count, -1)
-        return np.cumsum(out) > 0
+    return run
 
-    hot = over(lo[kind == MARKED], n[kind == MARKED])
-    hot[lo[kind == FIRST]] = False
-    hot |= over(lo[kind == REMOVED], n[kind == REMOVED])
-    step = np.diff(np.concatenate([[0], hot.astype(np.int64)]))
-    begin, behind = np.flatnonzero(step > 0), np.flatnonzero(step < 0)
-    windows[:] = 0
-    np.add.at(windows, begin, 1)
-    np.add.at(windows, np.minimum(behind + WINDOW - 1, size), -1)
-    return np.cumsum(windows)[:size] > 0
+
+def removed_ranges(size: int, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """(k, 2) ranges of bytes that removed windows lo..lo+n-1 cover, merged, in order."""
+    order = np.argsort(lo, kind="stable")
+    begin, end = lo[order], np.maximum.accumulate((lo + n + WINDOW - 1)[order]) if len(lo) else lo
+    new = np.ones(len(begin), bool)
+    new[1:] = begin[1:] > end[:-1]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1) if len(begin) else np.zeros(0, np.int64)
+    return np.stack([begin[new], np.minimum(end[last], size)], axis=1)
 
 
 def _applied(keep: list[str], kept_text: bool):
@@ -343,40 +463,78 @@ def _applied(keep: list[str], kept_text: bool):
                 lists = piece.column("_gone")
                 rows = []
                 flat = lists.flatten()
-                kind, lo, n = (flat.field(c).to_numpy() for c in ("kind", "lo", "n"))
+                lo, n = (flat.field(c).to_numpy() for c in ("lo", "n"))
                 at = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(lists), 0)))])
                 for i, body in enumerate(texts):
-                    a, b = at[i], at[i + 1]
-                    removed, spans = 0, 0
-                    if b > a:
-                        data = np.frombuffer(body, np.uint8)
-                        gone = marked_bytes(len(data), kind[a:b], lo[a:b], n[a:b])
-                        removed = int(gone.sum())
-                        spans = int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) > 0).sum())
-                        rest = data[~gone].tobytes() if removed else body
-                    else:
-                        rest = body
-                    rows.append((len(body), removed, spans, rest.decode("utf-8", "ignore") if kept_text else hashlib.sha256(rest).hexdigest()))
+                    cut = removed_ranges(len(body), lo[at[i] : at[i + 1]], n[at[i] : at[i + 1]].astype(np.int64)).tolist()
+                    edges = [0, *[x for pair in cut for x in pair], len(body)]
+                    rest = b"".join(body[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if cut else body
+                    rows.append((len(body), len(body) - len(rest), len(cut), rest.decode("utf-8", "ignore") if kept_text else hashlib.sha256(rest).hexdigest()))
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)]
                 yield appended(piece.select(keep), dict(zip(("_n", "_removed", "_spans", "_out"), columns, strict=True)))
 
     return run
 
 
-def removed_windows(rows: DataFrame) -> DataFrame:
-    """Steps 1 to 4 for ``rows`` (rid, key, text): rid, kind, lo, n."""
-    parts = rows._jdf.queryExecution().toRdd().getNumPartitions()  # planning only: nothing runs
+def _parts(df: DataFrame) -> int:
+    return df._jdf.queryExecution().toRdd().getNumPartitions()  # planning only: nothing runs
+
+
+def _claimed(found: DataFrame) -> DataFrame:
+    """Claims joined to ranges: rid, lo, n, srid, slo."""
+    claims = found.where(F.col("kind") == CLAIM)
+    line = Window.partitionBy("rid").orderBy("lo")
+    behind = lambda c: F.lag(F.col(c) + F.col("n")).over(line)
+    block = lambda c: F.shiftright(c, CLAIM_BYTES.bit_length() - 1)
+    on = (behind("lo") == F.col("lo")) & (behind("slo") == F.col("slo")) & (F.lag("srid").over(line) == F.col("srid")) & (F.lag(block("slo")).over(line) == block("slo"))
+    marked = claims.select("rid", "lo", "n", "srid", "slo", F.when(on, 0).otherwise(1).alias("new"))
+    marked = marked.withColumn("island", F.sum("new").over(line))
+    return marked.groupBy("rid", "island").agg(F.min("lo").alias("lo"), F.sum("n").cast("int").alias("n"), F.first("srid").alias("srid"), F.min("slo").alias("slo")).drop("island")
+
+
+def _attempt(rows: DataFrame, seed: int) -> DataFrame | None:
+    """Steps 1 to 5 with one seed of the hashes; None if bytes refute a claim."""
+    parts = _parts(rows)
     buckets = max(16, 4 * parts)
-    blocks = rows.mapInArrow(frugal(_local(buckets)), BLOCKS)
-    found = stored(blocks.groupBy("bucket").applyInArrow(_meet(buckets), FOUND))
-    opened = found.where(F.col("kind") != REMOVED).groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "gram", "kind", "key")).alias("open"))
-    contents = stored(rows.select("rid", "text").join(opened, "rid").mapInArrow(frugal(_contents), CONTENTS))
-    cold = contents.where(F.col("kind") == OPEN)
-    groups = max(16, 4 * parts)
-    cold = cold.groupBy(F.pmod("gram", F.lit(groups)).alias("part")).applyInArrow(_sorted_out, "rid long, kind int, lo long, n int")
-    windows = contents.where(F.col("kind") == MARKED).mapInArrow(frugal(_windows), "w1 long, w2 long, key long, rid long, at long")
-    first = windows.groupBy("w1", "w2").agg(F.min(F.struct("key", "rid", "at")).alias("f")).select("f.rid", F.lit(FIRST).alias("kind"), F.col("f.at").alias("lo"), F.lit(1).alias("n"))
-    return found.where(F.col("kind") != OPEN).select("rid", "kind", "lo", "n").unionByName(cold).unionByName(first)
+    blocks, tasks = rows.mapInArrow(frugal(_local(buckets, seed)), BLOCKS), parts
+    while tasks > FAN:
+        blocks = blocks.groupBy("bucket", F.floor(F.col("part") / FAN)).applyInArrow(_meet(buckets, last=False), BLOCKS)
+        tasks = -(-tasks // FAN)
+    found = stored(blocks.groupBy("bucket").applyInArrow(_meet(buckets, last=True), FOUND))
+    claims = stored(_claimed(found))
+    ends = claims.unionByName(claims.select(F.col("srid").alias("rid"), F.col("slo").alias("lo"), "n", "srid", "slo").distinct())
+    ends = ends.select(F.lit(CLAIM).alias("kind"), "rid", "lo", "n", F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("key"), "srid", "slo")
+    asked = found.where(F.col("kind").isin(OPEN, MARKED)).unionByName(ends)
+    slices = asked.groupBy("rid").agg(F.collect_list(F.struct("kind", "lo", "n", "gram", "key", "srid", "slo")).alias("slices"))
+    contents = stored(rows.select("rid", "text").join(slices, "rid").mapInArrow(frugal(_contents), CONTENTS), codec="zstd")
+    if refuted(contents):
+        return None
+    of = lambda kind: contents.where(F.col("kind") == kind)
+    cold = of(OPEN).groupBy(F.pmod("gram", F.lit(buckets)).alias("part")).applyInArrow(_sorted_out(seed), GONE)
+    hot = of(MARKED).select("gram", "key", "rid", "lo", "n", "content")
+    windows, tasks = hot.mapInArrow(frugal(_windows(seed)), WINDOWS), _parts(hot)
+    by = F.pmod("w", F.lit(buckets))
+    while tasks > FAN:
+        windows = windows.groupBy(by, F.floor(F.col("part") / FAN)).applyInArrow(_windows_meet(False, seed), WINDOWS)
+        tasks = -(-tasks // FAN)
+    hot = windows.groupBy(by).applyInArrow(_windows_meet(True, seed), GONE)
+    return found.where(F.col("kind") == REMOVED).select("rid", "lo", "n").unionByName(claims.select("rid", "lo", "n")).unionByName(cold).unionByName(hot)
+
+
+def refuted(contents: DataFrame) -> bool:
+    """Whether some target of a claim differs from its source: then the least and the greatest bytes of a source's
+    claims differ.  Both are combined before they move, however many targets a source has."""
+    spread = contents.where(F.col("kind") == CLAIM).groupBy("srid", "slo", "n").agg(F.min("content").alias("a"), F.max("content").alias("b"))
+    return not spread.where("a <> b").limit(1).isEmpty()
+
+
+def removed_windows(rows: DataFrame) -> DataFrame:
+    """Removed windows of ``rows`` (rid, key, text): rid, lo, n."""
+    for seed in SEEDS:
+        done = _attempt(rows, seed)
+        if done is not None:
+            return done
+    raise RuntimeError(f"{len(SEEDS)} independent hashes each gave two contents one value")
 
 
 def _judged(docs: DataFrame, keep: list[str], kept_text: bool, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -385,7 +543,7 @@ def _judged(docs: DataFrame, keep: list[str], kept_text: bool, text: str = "text
     docs = numbered(docs.select(*[F.col(f"`{c}`").alias(k) for c, k in named.items()]), "_rid")
     body = F.coalesce(F.col(named[text]), F.lit(""))
     rows = docs.select(F.col("_rid").alias("rid"), F.coalesce(F.col(named[doc_id]).cast("long"), F.lit(LAST_ID)).alias("key"), body.alias("text"))
-    gone = stored(removed_windows(rows)).groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("kind", "lo", "n")).alias("_gone"))
+    gone = stored(removed_windows(rows), codec="zstd").groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("lo", "n")).alias("_gone"))
     kept = [T.StructField(named[c], docs.schema[named[c]].dataType) for c in keep]
     own = docs.select(*[f.name for f in kept], "_rid", body.alias("_text")).join(gone, "_rid", "left")
     schema = T.StructType([*kept, *[T.StructField(c, T.LongType()) for c in ("_n", "_removed", "_spans")], T.StructField("_out", T.StringType())])

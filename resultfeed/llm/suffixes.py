@@ -139,6 +139,21 @@ def equal_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int) -> n
     return out
 
 
+def equal_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ranges of ``data`` at a and b, of equal length, hold the same bytes."""
+    out, total = np.ones(len(a), bool), np.cumsum(length)
+    at = 0
+    while at < len(a):
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + _AT_ONCE, "right")))
+        n = length[at:end]
+        edge = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(edge, n)
+        out[at:end] = np.logical_and.reduceat(data[np.repeat(a[at:end], n) + place] == data[np.repeat(b[at:end], n) + place], edge)
+        at = end
+    return out
+
+
 def repeated(text: Text, starts: np.ndarray, bucket: np.ndarray, depth: int) -> np.ndarray:
     """Whether each window of ``depth`` bytes equals an earlier one of its bucket (earlier in ``starts``).
 

@@ -164,7 +164,9 @@ def passages_corpus(seed):
 
 @pytest.mark.parametrize("seed, few", [(1, False), (2, True)])
 def test_removed_by_brute_force(spark, tmp_path, monkeypatch, seed, few):
-    if few:  # marked grams, several local passes, and texts cut into parts
+    if few:  # marked grams, several levels and local passes, short claims, and texts cut into parts
+        monkeypatch.setattr(repeats, "FAN", 2)
+        monkeypatch.setattr(repeats, "CLAIM_BYTES", 64)
         monkeypatch.setattr(repeats, "MANY_LOCAL", 2)
         monkeypatch.setattr(repeats, "MANY", 4)
         monkeypatch.setattr(repeats, "LOCAL_BYTES", 3000)
@@ -201,6 +203,37 @@ def test_collisions_are_verified(monkeypatch):
     assert repeated(text, starts, np.zeros(4, int), 4).tolist() == [False, True, False, True]
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_colliding_hashes_remove_nothing(spark, tmp_path, monkeypatch, few):
+    """Contents of runs collide at will with the first seed: bytes refute the claims, and the next seed decides."""
+    real, tried = repeats.runs_of, []
+    monkeypatch.setattr(repeats, "runs_of", lambda data, bounds, seed=1: (lambda r: (*r[:4], r[4] % np.uint64(3) if seed == 1 else r[4], r[5]))(real(data, bounds, seed)))
+    attempt = repeats._attempt
+    monkeypatch.setattr(repeats, "_attempt", lambda rows, seed: (tried.append(seed), attempt(rows, seed))[1])
+    if few:
+        monkeypatch.setattr(repeats, "LOCAL_BYTES", 3000)
+    texts = passages_corpus(5)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.digest(table(spark, tmp_path, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_removed(texts) and tried == [1, 2]
+
+
+def test_equal_ranges(monkeypatch):
+    from resultfeed.llm import suffixes
+
+    monkeypatch.setattr(suffixes, "_AT_ONCE", 16)
+    data = np.frombuffer(b"abcdeXabcdfXabcdeX", np.uint8)
+    assert suffixes.equal_ranges(data, np.array([0, 0, 0, 6]), np.array([6, 12, 6, 12]), np.array([5, 6, 4, 5])).tolist() == [False, True, True, False]
+
+
+def test_one_very_long_text(spark, tmp_path):
+    """Twenty megabytes in one row, half of it a copy of the other half, beside short ones."""
+    rng = np.random.default_rng(1)
+    half = "".join(map(chr, rng.integers(97, 123, 10_000_000)))
+    rows = [(1, "short " * 30), (2, half + half), (3, half[5000:5400] + "!")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in repeats.digest(table(spark, tmp_path, rows, 2)).collect()}
+    assert got[2] == (20_000_000, 10_000_000, 1) and got[3] == (401, 400, 1) and got[1][0] == 180
+
+
 def test_dedup_of_odd_rows(odd, odd_rows, clashing, empty):
     out = repeats.digest(odd)
     assert out.count() == len(odd_rows)
