@@ -7,10 +7,12 @@ package's functions; for them the SQL is an oracle only.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from resultfeed.functions.encode import hex_bytes, row_json
 from resultfeed.operators import diff
@@ -53,7 +55,7 @@ SQL = {
     "pred_like": "SELECT p_partkey, p_name FROM part WHERE p_name LIKE '%ring%' OR p_type LIKE 'S%'",
     "topk": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 25",
     "fetch_first": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey FETCH FIRST 10 ROWS ONLY",
-    "nulls_order": "SELECT k, s FROM (SELECT o_orderkey AS k, NULLIF(o_orderstatus, 'P') AS s FROM orders) t ORDER BY s DESC NULLS FIRST, k LIMIT 40",
+    "nulls_order": "SELECT k, s, CAST(ROW_NUMBER() OVER (ORDER BY s DESC NULLS FIRST, k) AS BIGINT) AS place FROM (SELECT o_orderkey AS k, NULLIF(o_orderstatus, 'P') AS s FROM orders) t",
     "join_inner": "SELECT c.c_name, o.o_orderkey AS order_id, o.o_totalprice FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey",
     "join_left": "SELECT p.p_partkey, l.l_orderkey FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey AND l.l_quantity > 49",
     "join_right": "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON c.c_custkey = o.o_custkey AND o.o_totalprice > 400000",
@@ -65,6 +67,11 @@ SQL = {
     "join_lateral": "SELECT n.n_name, t.c_custkey FROM nation n, LATERAL (SELECT c.c_custkey FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000) t",
     "group_agg": "SELECT o_custkey, COUNT(*) AS order_count, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(38,2)) AS total_spent FROM orders GROUP BY o_custkey",
     "group_having": "SELECT p_brand, COUNT(*) AS cnt, MAX(p_retailprice) AS mx FROM part GROUP BY p_brand HAVING COUNT(*) > 10",
+    "group_avg": "SELECT o_custkey, CAST(AVG(CAST(k AS DOUBLE)) AS DOUBLE) AS mean FROM (SELECT o_custkey, o_orderkey % 100 AS k FROM orders) t GROUP BY o_custkey HAVING AVG(CAST(k AS DOUBLE)) > 50",
+    "bool_true": "SELECT p_partkey FROM (SELECT p_partkey, p_size > 25 AS large FROM part) t WHERE large = true",
+    "now_past": "SELECT event_id FROM events WHERE ts < NOW() AND event_type = 'click'",
+    "cte_shadow": "WITH orders AS (SELECT * FROM orders WHERE o_orderkey > 1000), late AS (SELECT * FROM orders WHERE o_orderstatus = 'O') SELECT o_orderkey, o_custkey FROM late",
+    "regex_column": "SELECT p_partkey FROM part WHERE p_name ~* SUBSTRING(UPPER(p_type), 1, 2)",
     "group_none": "SELECT COUNT(*) AS n, MIN(o_totalprice) AS lo, MAX(o_totalprice) AS hi FROM orders",
     "group_filter": "SELECT user_id, COUNT(*) FILTER (WHERE event_type = 'click') AS clicks, COUNT(DISTINCT event_type) AS kinds FROM events GROUP BY user_id",
     "grouping_sets": "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderstatus), ())",
@@ -80,7 +87,7 @@ SQL = {
     "window_rn": "SELECT p_partkey, p_brand, CAST(ROW_NUMBER() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC NULLS LAST, p_partkey) AS BIGINT) AS price_rank FROM part",
     "window_rank": "SELECT p_partkey, CAST(RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS r, CAST(DENSE_RANK() OVER (PARTITION BY p_brand ORDER BY p_size) AS BIGINT) AS d, CAST(NTILE(4) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS BIGINT) AS q FROM part",
     "window_frame": "SELECT event_id, LAG(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_id, LEAD(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS next_id, FIRST_VALUE(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS first_id, COUNT(*) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM events",
-    "case_tier": "SELECT c.c_custkey, s.order_count, CASE WHEN s.spent > 1000000 THEN 'VIP' WHEN s.spent > 100000 THEN 'Regular' ELSE 'New' END AS tier FROM customer c LEFT JOIN (SELECT o_custkey, COUNT(*) AS order_count, COALESCE(SUM(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS spent FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey) s ON c.c_custkey = s.o_custkey WHERE c.c_acctbal > 0",
+    "case_tier": "SELECT c.c_custkey, s.order_count, CASE WHEN s.spent > 1500000 THEN 'gold' WHEN s.spent BETWEEN 200000 AND 1500000 THEN 'silver' WHEN s.order_count IS NULL THEN 'idle' ELSE 'plain' END AS tier FROM customer c LEFT JOIN (SELECT o_custkey, COUNT(*) AS order_count, COALESCE(SUM(CAST(o_totalprice AS DECIMAL(18,2))), 0) AS spent FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey) s ON c.c_custkey = s.o_custkey WHERE c.c_acctbal > 0",
     "json_extract": "SELECT event_id, props->>'k' AS k FROM events WHERE props->>'k' IS NOT NULL",
     "distinct": "SELECT DISTINCT o_orderstatus FROM orders",
     "distinct_on": "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice FROM orders ORDER BY o_custkey, o_totalprice DESC NULLS LAST, o_orderkey",
@@ -89,8 +96,6 @@ SQL = {
     "intersect": "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey AS k FROM supplier",
     "except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey AS k FROM supplier",
     "intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey AS k FROM supplier",
-    "tx_batches": "SELECT tx, COUNT(*) AS n_rows, CAST(SUM(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS n_relevant FROM (SELECT CAST(FLOOR(event_id / 100.0) AS BIGINT) AS tx, event_type FROM events) t GROUP BY tx",
-    "cleanup_stale": "SELECT user_id, MAX(ts) AS last_activity FROM events GROUP BY user_id HAVING MAX(ts) <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL '30' SECOND",
     "strings": "SELECT c_custkey, UPPER(c_name) AS u, LENGTH(c_name) AS n, SUBSTRING(c_name, 1, 4) AS head, c_name || '/' || c_mktsegment AS joined, REPLACE(c_mktsegment, 'I', 'i') AS r FROM customer",
     "numbers": "SELECT o_orderkey, CAST(FLOOR(o_totalprice) AS BIGINT) AS f, CAST(CEIL(o_totalprice) AS BIGINT) AS c, ABS(-o_orderkey) AS a, o_orderkey % 7 AS m, SIGN(o_custkey - 500)::INT AS s FROM orders",
     "dates": "SELECT event_id, DATE_TRUNC('day', ts)::DATE::TEXT AS d, CAST(EXTRACT(HOUR FROM ts) AS INT) AS h, CAST(EXTRACT(MONTH FROM ts) AS INT) AS m FROM events",
@@ -102,6 +107,7 @@ SQL = {
 ORACLE = {
     "json_extract": "SELECT event_id, props->>'$.k' AS k FROM events WHERE props->>'$.k' IS NOT NULL",
     "fetch_first": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 10",
+    "regex_column": "SELECT p_partkey FROM part WHERE regexp_matches(p_name, SUBSTRING(UPPER(p_type), 1, 2), 'i')",
 }
 
 _V = """v0 AS (SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0),
@@ -160,10 +166,114 @@ def _fold_events(spark, sf_dir):
     return diff.fold(diff.init_events(old, 0).unionByName(diff.diff_identity(old, new, ["o_orderkey"])))
 
 
+def _subscribers(spark, sf_dir):
+    """A registry with a subscriber for each user of ``events``, the clients of a service: driver-side state by nature,
+    bounded by its maximum of subscriptions."""
+    from resultfeed.plans.analyze import Analyzer
+    from resultfeed.registry import Registry
+
+    class Clock:
+        now = 0.0
+
+        def __call__(self) -> float:
+            return self.now
+
+    clock = Clock()
+    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)")).alias("at")).orderBy("at").collect()
+    return Registry(Analyzer(spark), max_subscriptions=len(rows), clock=clock), clock, rows
+
+
 def _fanout(spark, sf_dir):
-    subs = table(spark, sf_dir, "events").select("user_id").distinct()
-    mode = F.when(F.col("user_id") % 3 == 0, "snapshot").otherwise("events")
-    return subs.select((F.col("user_id") % 7).alias("query_id"), mode.alias("mode")).groupBy("query_id", "mode").agg(F.count(F.lit(1)).alias("subs"))
+    """Messages of one change per shared query and mode: who gets it by the registry, what by the sinks."""
+    from resultfeed.streaming.sinks import Batch, payloads
+
+    registry, _, users = _subscribers(spark, sf_dir)
+    for u in users:
+        registry.subscribe(str(u.user_id), f"SELECT * FROM orders WHERE o_orderkey = {u.user_id % 7}", (), "snapshot" if u.user_id % 3 == 0 else "events")
+    out, rows = [], spark.range(1).select(F.col("id").alias("o_orderkey"))
+    for q in registry.queries():
+        batch = Batch(q.id, 0, 1, 0, diff.init_events(rows, 0), lambda: rows, registry.subscribers(q.id))
+        key = int(q.sql.rsplit("=", 1)[1])
+        out += [(key, mode, len(batch.subscribers[mode])) for mode in payloads(batch)]
+    return spark.createDataFrame(out, "query_id long, mode string, subs long")
+
+
+def _cleanup_stale(spark, sf_dir):
+    """Subscribers whose last heartbeat is too long ago, by the registry's clock."""
+    registry, clock, users = _subscribers(spark, sf_dir)
+    for u in users:
+        clock.now = u.at / 1e6
+        registry.subscribe(str(u.user_id), "SELECT * FROM orders")
+        registry.heartbeat(str(u.user_id))
+    clock.now = 1706616000.0  # 2024-01-30 12:00:00
+    gone, _ = registry.cleanup(30)
+    at = {str(u.user_id): u.at for u in users}
+    made = spark.createDataFrame([(int(i), at[i]) for i in gone], "user_id long, at long")
+    return made.select("user_id", F.expr("timestampadd(MICROSECOND, at, TIMESTAMP_NTZ '1970-01-01 00:00:00')").alias("last_activity"))
+
+
+def _replicated(rows) -> list[bytes]:
+    """Replication messages of a transaction that inserted rows (tx, event_id, event_type)."""
+    text = lambda v: b"t" + struct.pack(">I", len(v)) + v
+    columns = b"".join(bytes([k]) + n + b"\0" + struct.pack(">Ii", oid, -1) for k, n, oid in ((1, b"event_id", 20), (0, b"event_type", 25)))
+    tx = rows[0][0]
+    out = [b"R" + struct.pack(">I", 1) + b"public\0events\0d" + struct.pack(">H", 2) + columns, b"B" + struct.pack(">QqI", tx, 0, tx)]
+    out += [b"I" + struct.pack(">I", 1) + b"N" + struct.pack(">H", 2) + text(str(i).encode()) + text(kind.encode()) for _, i, kind in rows]
+    return [*out, b"C\0" + struct.pack(">QQq", tx, tx, 0)]
+
+
+def _tx_batches(spark, sf_dir):
+    """Records by transaction, from replication messages through the decoder; rows that a subscribed predicate can
+    match count as relevant."""
+    import pandas as pd
+
+    from resultfeed.sources import changelog, pgoutput
+
+    def decoded(rows: pd.DataFrame) -> pd.DataFrame:
+        messages = _replicated(list(rows.sort_values("event_id").itertuples(index=False, name=None)))
+        return pd.DataFrame([r for _, part in pgoutput.transactions(iter(messages)) for r in part], columns=changelog.SCHEMA.names)
+
+    events = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 100).cast("long").alias("tx"), "event_id", "event_type")
+    records = events.groupBy("tx").applyInPandas(decoded, changelog.SCHEMA)
+    schema = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("event_type", T.StringType())])
+    rows = records.select("tx", F.from_json("after", schema).alias("row")).select("tx", "row.*")
+    hit = may_match(schema, parse("event_type = 'signup'"))
+    return rows.groupBy("tx").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(hit.cast("long")).alias("n_relevant"))
+
+
+def _partial_updates(spark, sf_dir):
+    """The next version of ``orders`` after several records of a key in one batch: full and partial updates, nulls that
+    are set, an insert that is updated, a key that changes, and a delete that is undone."""
+    from resultfeed.sources import changelog
+
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    k, part = F.col("o_orderkey"), lambda *c: F.to_json(F.struct(F.col("o_orderkey"), *c), {"ignoreNullFields": "false"})
+    status, priority = lambda v: F.lit(v).cast("string").alias("o_orderstatus"), lambda v: F.lit(v).cast("string").alias("o_orderpriority")
+    none = F.lit(None).cast("string")
+    moved = F.to_json(F.struct((-k).alias("o_orderkey"), status("M")))
+
+    def record(where: str, seq: int, op: str, before, after, partial: bool):
+        return orders.where(where).select(k.alias("lsn"), F.lit(seq).cast("long").alias("seq"), F.lit(1).cast("long").alias("tx"), F.lit("orders").alias("tbl"), F.lit(op).alias("op"), before.alias("before"), after.alias("after"), F.lit(partial).alias("partial"))
+
+    log = [
+        record("o_orderkey % 10 = 1", 0, "U", none, part(status("X"), priority("new")), False), record("o_orderkey % 10 = 1", 1, "U", none, part(status("Y")), True),
+        record("o_orderkey % 10 = 2", 0, "U", none, part(priority(None)), True),
+        record("o_orderkey % 10 = 3", 0, "U", part(), moved, True),
+        record("o_orderkey % 10 = 4", 0, "D", part(), none, False), record("o_orderkey % 10 = 4", 1, "I", none, part(status("B")), False), record("o_orderkey % 10 = 4", 2, "U", none, part(priority("back")), True),
+        record("o_orderkey % 10 = 5", 0, "D", part(), none, False),
+    ]
+    changes = log[0]
+    for more in log[1:]:
+        changes = changes.unionByName(more)
+    return changelog.next_version(orders, changes, ["o_orderkey"])
+
+
+def _odd_names(spark, sf_dir):
+    """A difference of results whose columns are named like the engine's own, and with dots."""
+    names = ["o_orderkey", "mz_diff", "a.b", "_n"]
+    old, new = (v.select("o_orderkey", "o_custkey", "o_orderstatus", F.lit(1).alias("one")).toDF(*names) for v in versions(spark, sf_dir))
+    made = diff.diff_identity(old, new, ["o_orderkey"]).drop("mz_timestamp")
+    return made.toDF("d", "k", "mz_diff", "a.b", "_n")
 
 
 def _row_json(spark, sf_dir):
@@ -202,6 +312,13 @@ OPERATORS = {
     "tri_state": (_tri_state, "SELECT event_id, CASE WHEN NULLIF(event_type, 'error') = 'click' AND value > 50 THEN 'match' WHEN NULLIF(event_type, 'error') <> 'click' OR value <= 50 THEN 'no_match' ELSE 'unknown' END AS r FROM events"),
     "seq_batches": (_seq_batches, "SELECT query_id, tx, CAST(ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY tx) AS BIGINT) AS seq, n_events FROM (SELECT event_type AS query_id, CAST(FLOOR(event_id / 5.0) AS BIGINT) AS tx, COUNT(*) AS n_events FROM events GROUP BY event_type, CAST(FLOOR(event_id / 5.0) AS BIGINT)) t"),
     "fanout": (_fanout, "WITH s AS (SELECT user_id % 7 AS query_id, user_id AS sub_id, CASE WHEN user_id % 3 = 0 THEN 'snapshot' ELSE 'events' END AS mode FROM (SELECT DISTINCT user_id FROM events) d) SELECT query_id, mode, COUNT(*) AS subs FROM s GROUP BY query_id, mode"),
+    "cleanup_stale": (_cleanup_stale, "SELECT user_id, MAX(ts) AS last_activity FROM events GROUP BY user_id HAVING MAX(ts) <= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL '30' SECOND"),
+    "tx_batches": (_tx_batches, "SELECT tx, COUNT(*) AS n_rows, CAST(SUM(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) AS BIGINT) AS n_relevant FROM (SELECT CAST(FLOOR(event_id / 100.0) AS BIGINT) AS tx, event_type FROM events) t GROUP BY tx"),
+    "partial_updates": (_partial_updates, """SELECT CASE WHEN o_orderkey % 10 = 3 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey,
+        CASE o_orderkey % 10 WHEN 1 THEN 'Y' WHEN 3 THEN 'M' WHEN 4 THEN 'B' ELSE o_orderstatus END AS o_orderstatus,
+        CASE o_orderkey % 10 WHEN 1 THEN 'new' WHEN 2 THEN NULL WHEN 4 THEN 'back' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 10 <> 5"""),
+    "odd_names": (_odd_names, f"""WITH {_V}, j AS (SELECT v0.o_orderkey AS k0, v0.o_custkey AS c0, v0.o_orderstatus AS s0, v1.o_orderkey AS k1, v1.o_custkey AS c1, v1.o_orderstatus AS s1 FROM v0 FULL OUTER JOIN v1 ON v0.o_orderkey = v1.o_orderkey)
+        SELECT -1 AS d, k0 AS k, c0 AS mz_diff, s0 AS "a.b", 1 AS _n FROM j WHERE k0 IS NOT NULL AND (k1 IS NULL OR s0 IS DISTINCT FROM s1) UNION ALL SELECT 1, k1, c1, s1, 1 FROM j WHERE k1 IS NOT NULL AND (k0 IS NULL OR s0 IS DISTINCT FROM s1)"""),
     "row_json": (_row_json, "SELECT o_orderkey, CAST(json_object('id', o_orderkey, 's', NULLIF(o_orderstatus, 'F')) AS VARCHAR) AS data FROM orders"),
     "bytes_hex": (_bytes_hex, r"SELECT n_nationkey, '\x' || lower(hex(encode(n_name))) AS h FROM nation"),
     "identity_hash": (_identity_hash, "SELECT n_nationkey, sha256(CAST(json_object('n_nationkey', n_nationkey, 'n_name', n_name) AS VARCHAR)) AS h FROM nation"),

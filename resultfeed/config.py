@@ -40,6 +40,7 @@ class Config:
     wal_slot: str = f"{PRODUCT}_slot"
     wal_publication: str = f"{PRODUCT}_pub"
     requery_parallelism: int = 8
+    inline_rows: int = 10_000
 
     #: setting -> environment variables, the first that is set counts
     ENV = {
@@ -58,6 +59,7 @@ class Config:
         "wal_slot": ("WAL_SLOT",),
         "wal_publication": ("WAL_PUBLICATION",),
         "requery_parallelism": ("REQUERY_PARALLELISM",),
+        "inline_rows": ("INLINE_ROWS",),
     }
     #: setting -> (least, most)
     BOUNDS = {
@@ -68,6 +70,7 @@ class Config:
         "cleanup_interval_secs": (1, None),
         "max_subscriptions": (1, None),
         "requery_parallelism": (1, 64),
+        "inline_rows": (1, None),
     }
 
     @classmethod
@@ -109,7 +112,7 @@ def mask_url(url: str) -> str:
 class Metrics:
     """Counters behind one lock."""
 
-    NAMES = ("queries", "query_errors", "query_ms", "transactions", "changes", "requeries", "skipped", "msgs_in", "msgs_out")
+    NAMES = ("queries", "query_errors", "query_ms", "transactions", "changes", "requeries", "incremental", "skipped", "restarts", "msgs_in", "msgs_out")
 
     def __init__(self):
         self._lock = threading.Lock()

@@ -67,6 +67,30 @@ def now_ms() -> int:
     return int(time.time() * 1000)
 
 
-def event(df: DataFrame, diff: int, ts: int, columns: list[str] | None = None) -> DataFrame:
+TS, DIFF = "mz_timestamp", "mz_diff"
+#: Column metadata: the name under which a column is delivered, where it differs.
+NAME = "resultfeed.name"
+
+
+def delivered(field: T.StructField) -> str:
+    return field.metadata.get(NAME, field.name)
+
+
+def event_columns(columns: list[Column], names: list[str]) -> list[Column]:
+    """A result's columns beside those of an event: one that is named like them, or like another, gets a free name, and
+    keeps its own as metadata."""
+    taken, out = {TS, DIFF}, []
+    for c, name in zip(columns, names, strict=True):
+        free = name
+        while free.lower() in taken:
+            free += "_"
+        taken.add(free.lower())
+        out.append(c.alias(free) if free == name else c.alias(free, metadata={NAME: name}))
+    return out
+
+
+def event(df: DataFrame, diff: int, ts: int) -> DataFrame:
     """Rows as events: mz_timestamp, mz_diff, and the columns."""
-    return df.select(F.lit(ts).cast("long").alias("mz_timestamp"), F.lit(diff).cast("int").alias("mz_diff"), *[F.col(f"`{c}`") for c in (columns or df.columns)])
+    n = len(df.columns)
+    placed = df.toDF(*[f"c{i}" for i in range(n)])
+    return placed.select(F.lit(ts).cast("long").alias(TS), F.lit(diff).cast("int").alias(DIFF), *event_columns([F.col(f"c{i}") for i in range(n)], df.columns))

@@ -1,7 +1,8 @@
 """Snapshots and their differences, by DataFrame operations only.
 
 Rows are bags: duplicates count.  With identity columns, the old and new row of an identity are paired, so that an
-update is a ``-1`` followed by a ``+1``; without them rows are counted.
+update is a ``-1`` followed by a ``+1``; without them rows are counted.  Columns go by position inside, so that they
+may have any name, and the same one more than once.
 """
 
 from __future__ import annotations
@@ -11,10 +12,9 @@ import logging
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from resultfeed.functions.encode import comparable, event
+from resultfeed.functions.encode import DIFF, TS, comparable, delivered, event, event_columns
 
 log = logging.getLogger("resultfeed.diff")
-TS, DIFF = "mz_timestamp", "mz_diff"
 
 
 def init_events(df: DataFrame, ts: int) -> DataFrame:
@@ -27,8 +27,16 @@ def late_join_events(snapshot: DataFrame) -> DataFrame:
     return event(snapshot, 1, 0)
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def _keys(df: DataFrame, columns: list[str]) -> list:
-    return [comparable(F.col(f"`{c}`"), df.schema[c].dataType) for c in columns]
+    return [comparable(F.col(c), df.schema[c].dataType) for c in columns]
+
+
+def _events(placed: DataFrame, n, ts: int, names: list[str]) -> DataFrame:
+    return placed.select(F.lit(ts).cast("long").alias(TS), n.cast("int").alias(DIFF), *event_columns([F.col(f"c{i}") for i in range(len(names))], names))
 
 
 def diff_bag(old: DataFrame, new: DataFrame, ts: int = 0) -> DataFrame:
@@ -36,14 +44,14 @@ def diff_bag(old: DataFrame, new: DataFrame, ts: int = 0) -> DataFrame:
 
     One shuffle with partial sums: a row that very many copies share is summed before it moves.
     """
-    columns = new.columns
-    both = old.select(*columns, F.lit(-1).alias("_d")).unionByName(new.select(*columns, F.lit(1).alias("_d")))
+    names, columns = new.columns, [f"c{i}" for i in range(len(new.columns))]
+    both = _placed(old).withColumn("d", F.lit(-1)).unionByName(_placed(new).withColumn("d", F.lit(1)))
     plain = all(both.schema[c].dataType.typeName() not in ("map", "variant") for c in columns)
-    keys = [F.col(f"`{c}`") for c in columns] if plain else [k.alias(f"_k{i}") for i, k in enumerate(_keys(both, columns))]
-    summed = both.groupBy(*keys).agg(F.sum("_d").alias("_n"), *([] if plain else [F.first(F.struct(*columns)).alias("_row")])).where(F.col("_n") != 0)
-    rows = summed if plain else summed.select("_row.*", "_n")
-    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("_n"))))
-    return copies.select(F.lit(ts).cast("long").alias(TS), F.signum("_n").cast("int").alias(DIFF), *columns)
+    keys = columns if plain else [k.alias(f"k{i}") for i, k in enumerate(_keys(both, columns))]
+    summed = both.groupBy(*keys).agg(F.sum("d").alias("n"), *([] if plain else [F.first(F.struct(*columns)).alias("row")])).where(F.col("n") != 0)
+    rows = summed if plain else summed.select("row.*", "n")
+    copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.abs("n"))))
+    return _events(copies, F.signum("n"), ts, names)
 
 
 def diff_identity(old: DataFrame, new: DataFrame, identity: list[str], ts: int = 0) -> DataFrame:
@@ -51,14 +59,16 @@ def diff_identity(old: DataFrame, new: DataFrame, identity: list[str], ts: int =
 
     Rows that share an identity are numbered by content and paired by number.
     """
-    columns = new.columns
-    missing = [c for c in identity if c not in columns]
+    names, columns = new.columns, [f"c{i}" for i in range(len(new.columns))]
+    missing = [c for c in identity if c not in names]
     if missing:
         log.warning("identity columns %s are not in the result; comparing whole rows", missing)
         return diff_bag(old, new, ts)
+    key = [f"c{names.index(c)}" for c in identity]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        keys = _keys(df, identity)
+        df = _placed(df)
+        keys = _keys(df, key)
         number = F.row_number().over(Window.partitionBy(*keys).orderBy(*_keys(df, columns)))
         return df.select(*[k.alias(f"{tag}k{i}") for i, k in enumerate(keys)], number.alias(f"{tag}n"), F.struct(*_keys(df, columns)).alias(f"{tag}c"), F.struct(*columns).alias(f"{tag}r"))
 
@@ -68,7 +78,7 @@ def diff_identity(old: DataFrame, new: DataFrame, identity: list[str], ts: int =
         on = on & F.col(f"ak{i}").eqNullSafe(F.col(f"bk{i}"))
     changed = a.join(b, on, "full_outer").where(~F.col("ac").eqNullSafe(F.col("bc")))
     pair = F.filter(F.array(F.struct(F.lit(-1).alias("d"), F.col("ar").alias("r")), F.struct(F.lit(1).alias("d"), F.col("br").alias("r"))), lambda e: e["r"].isNotNull())
-    return changed.select(F.explode(pair).alias("e")).select(F.lit(ts).cast("long").alias(TS), F.col("e.d").alias(DIFF), "e.r.*")
+    return _events(changed.select(F.explode(pair).alias("e")).select("e.d", "e.r.*"), F.col("d"), ts, names)
 
 
 def diff(old: DataFrame, new: DataFrame, identity: list[str] | None = None, ts: int = 0) -> DataFrame:
@@ -77,9 +87,11 @@ def diff(old: DataFrame, new: DataFrame, identity: list[str] | None = None, ts:
 
 def fold(events: DataFrame) -> DataFrame:
     """The rows that all events add up to: the inverse of ``init_events`` and ``diff``."""
-    columns = [c for c in events.columns if c not in (TS, DIFF)]
-    kept = events.groupBy(*columns).agg(F.sum(DIFF).alias("_n")).where(F.col("_n") > 0)
-    return kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long")))).select(*columns)
+    fields = [f for f in events.schema.fields if f.name not in (TS, DIFF)]
+    names, columns = [delivered(f) for f in fields], [f"c{i}" for i in range(len(fields))]
+    rows = events.select(F.col(DIFF).alias("d"), *[F.col(f"`{f.name}`").alias(c) for f, c in zip(fields, columns, strict=True)])
+    kept = rows.groupBy(*columns).agg(F.sum("d").alias("n")).where(F.col("n") > 0)
+    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long")))).select(*columns).toDF(*names)
 
 
 def fold_last(events: DataFrame, identity: list[str], order: str, deleted) -> DataFrame:

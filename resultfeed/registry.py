@@ -1,4 +1,4 @@
-"""Subscriptions and the queries they share; plain driver-side state behind one lock."""
+"""Subscriptions and the queries they share; plain driver-side state behind one lock that no Spark job holds."""
 
 from __future__ import annotations
 
@@ -36,6 +36,7 @@ class SharedQuery:
     subscribers: set[str] = field(default_factory=set)
     seq: int = 0
     version: int | None = None  # of its snapshot
+    schema_json: str | None = None  # of its result
 
 
 class Registry:
@@ -47,8 +48,8 @@ class Registry:
         self._tables: dict[str, set[str]] = {}
 
     def subscribe(self, sub_id: str, sql: str, identity: tuple[str, ...] = (), mode: str = "events", ready: Callable[[SharedQuery], None] | None = None) -> tuple[SharedQuery, bool]:
-        """The shared query and whether it is new.  ``ready`` makes a new query's first snapshot; it is indexed
-        only after that, under the lock that batches hold too, so no batch sees it half made."""
+        """The shared query and whether it is new.  ``ready`` makes a new query's first snapshot, without the lock; the
+        query is indexed only after that.  The caller keeps batches and other subscribers away meanwhile."""
         if mode not in MODES:
             raise SubscriptionError(f"Unknown mode '{mode}'")
         if not re.fullmatch(r"[^.\s*>]+", sub_id):
@@ -57,22 +58,30 @@ class Registry:
         if not analysis.tables:
             raise QueryError("No table in query")
         with self.lock:
-            if len(self._subs) >= self._max:
-                raise SubscriptionError(f"Max subscriptions ({self._max}) reached")
-            if sub_id in self._subs:
-                raise SubscriptionError(f"Subscription '{sub_id}' already exists")
-            query, new = self._queries.get(analysis.key), False
-            if query is None:
-                query, new = SharedQuery(analysis.key, sql, tuple(identity), analysis), True
-                if ready is not None:
-                    ready(query)
-                self._queries[query.id] = query
+            self._admit(sub_id)
+            query = self._queries.get(analysis.key)
+        new = query is None
+        if new:
+            query = SharedQuery(analysis.key, sql, tuple(identity), analysis)
+            if ready is not None:
+                ready(query)
+        with self.lock:
+            self._admit(sub_id)
+            if self._queries.setdefault(query.id, query) is query:
                 for t in analysis.tables:
                     self._tables.setdefault(t, set()).add(query.id)
+            else:
+                query, new = self._queries[query.id], False
             query.subscribers.add(sub_id)
             self._subs[sub_id] = Subscription(sub_id, query.id, mode, self._clock())
             return query, new
 
+    def _admit(self, sub_id: str) -> None:
+        if len(self._subs) >= self._max:
+            raise SubscriptionError(f"Max subscriptions ({self._max}) reached")
+        if sub_id in self._subs:
+            raise SubscriptionError(f"Subscription '{sub_id}' already exists")
+
     def unsubscribe(self, sub_id: str) -> tuple[bool, SharedQuery | None]:
         """Whether it existed, and the query that went with its last subscriber."""
         with self.lock:

@@ -1,15 +1,21 @@
-"""The change log: records of committed row changes, and what they do to a table."""
+"""The change log: records of committed row changes, and what they do to a table.
+
+Records are ordered by (lsn, seq).  ``after`` is a JSON object.  A record that is not ``partial`` has a full row
+(columns that its JSON lacks are null); a partial one changes only the columns that its JSON holds, null included, so
+"absent" and "null" differ.  ``net`` folds all records of a key, in order, into one change.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: op: I, U, D, or T (truncate).  Images are JSON objects; ``before`` may be null or partial.  ``partial``: ``after``
-#: lacks columns that the change left alone.
+#: op: I, U, D, or T (truncate).  ``before`` may be null or hold the key only.  ``seq``: place among records of one lsn.
 SCHEMA = T.StructType([
-    T.StructField("lsn", T.LongType()), T.StructField("tx", T.LongType()), T.StructField("tbl", T.StringType()), T.StructField("op", T.StringType()),
+    T.StructField("lsn", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("tx", T.LongType()), T.StructField("tbl", T.StringType()), T.StructField("op", T.StringType()),
     T.StructField("before", T.StringType()), T.StructField("after", T.StringType()), T.StructField("partial", T.BooleanType()),
 ])
 
@@ -20,53 +26,160 @@ def read_files(spark, path: str, max_files: int = 1) -> DataFrame:
 
 
 def images(changes: DataFrame, schema: T.StructType) -> DataFrame:
-    """Records of one table with typed ``before`` and ``after`` structs."""
-    typed = lambda c: F.from_json(c, schema)
-    return changes.withColumn("before", typed("before")).withColumn("after", typed("after")).withColumn("partial", F.coalesce("partial", F.lit(False)))
+    """Records of one table with typed ``before`` and ``after`` structs, and the columns that each holds."""
+    held = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
+    return changes.select(
+        F.struct(F.col("lsn"), F.coalesce("seq", F.lit(0).cast("long")).alias("seq")).alias("at"), "op", F.coalesce("partial", F.lit(False)).alias("partial"),
+        F.from_json("before", schema).alias("before"), F.from_json("after", schema).alias("after"), held("before").alias("has_before"), held("after").alias("has_after"),
+    )
+
+
+def key_of(row: str | Column, keys: list[str]) -> Column:
+    row = F.col(row) if isinstance(row, str) else row
+    return F.struct(*[row[k].alias(f"k{i}") for i, k in enumerate(keys)])
+
+
+def _values(row: Column, schema: T.StructType) -> Column:
+    return F.struct(*[row[f.name].alias(f"v{i}") for i, f in enumerate(schema.fields)])
+
+
+def row_of(values: Column, schema: T.StructType) -> Column:
+    """Values by position as a struct with the table's names."""
+    return F.struct(*[values[f"v{i}"].alias(f.name) for i, f in enumerate(schema.fields)])
 
 
-def latest(typed: DataFrame, keys: list[str]) -> DataFrame:
-    """The last record of each key by lsn, after the last truncation: columns ``key`` (struct), op, after, before, partial.
+def steps(typed: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """What each record does to a key: at (lsn, seq, n), op (U: the row is there with ``vals``; D: it's gone), ``info``
+    (which values the record tells), the row before it if the record tells (``known``, ``old``), and ``moved`` (the
+    old key, where a partial record moves a row to another key).
 
-    An update that changes a key counts as a delete of the old one too.
+    An update that changes the key is a delete of the old one, then a row at the new one.  An insert says that there
+    was no row before.  Records before the last truncation are dropped.
     """
-    row = lambda c: F.struct(*[F.col(f"{c}.{k}").alias(k) for k in keys])
-    has_key = lambda c: F.col(c).isNotNull() & ~F.array_contains(F.array(*[F.col(f"{c}.{k}").isNull() for k in keys]), True)
-    cut = typed.where("op = 'T'").agg(F.coalesce(F.max("lsn"), F.lit(-1)).alias("_cut"))
-    live = typed.where("op <> 'T'").join(F.broadcast(cut), F.col("lsn") > F.col("_cut")).drop("_cut")  # one row
-    now = live.where("op in ('I', 'U')").select("lsn", F.lit(1).alias("_n"), "op", row("after").alias("key"), "before", "after", "partial")
-    gone = live.where((F.col("op") == "D") | ((F.col("op") == "U") & has_key("before") & ~row("before").eqNullSafe(row("after"))))
-    gone = gone.select("lsn", F.lit(0).alias("_n"), F.lit("D").alias("op"), row("before").alias("key"), "before", F.lit(None).cast(typed.schema["after"].dataType).alias("after"), "partial")
-    last = F.row_number().over(Window.partitionBy("key").orderBy(F.col("lsn").desc(), F.col("_n").desc()))
-    return now.unionByName(gone).withColumn("_rn", last).where("_rn = 1").drop("_rn", "_n", "lsn")
-
-
-def apply(table: DataFrame, typed: DataFrame, keys: list[str]) -> DataFrame:
-    """The next version of ``table``.  Columns that a partial record lacks keep the table's values."""
-    truncated = typed.where("op = 'T'").limit(1).count() > 0
-    base = table.where(F.lit(False)) if truncated else table
-    last = latest(typed, keys)
-    columns = base.columns
-    on = F.lit(True)
-    for k in keys:
-        on = on & base[k].eqNullSafe(F.col(f"key.{k}"))
-    joined = base.join(last, on, "full_outer")
-    changed = F.col("key").isNotNull()
-
-    def value(c: str) -> Column:
-        held = F.when(F.col("partial") & F.col(f"after.{c}").isNull(), base[c]).otherwise(F.col(f"after.{c}"))
-        return F.when(changed, held).otherwise(base[c]).alias(c)
-
-    return joined.where(~changed | (F.col("op") != "D")).select(*[value(c) for c in columns])
-
-
-def before_images(table: DataFrame, typed: DataFrame, keys: list[str]) -> DataFrame:
-    """Records whose missing before images come from the table's version before the change, by key.
-
-    A record that stays without one (no such row, no key) has a null image, which pruning counts as unknown.
+    names = F.array(*[F.lit(f.name) for f in schema.fields])
+    cut = typed.where("op = 'T'").agg(F.max("at").alias("cut"))
+    live = typed.where("op <> 'T'").join(F.broadcast(cut), F.col("cut").isNull() | (F.col("at") > F.col("cut")))  # one row
+    keyed = ~F.array_contains(F.array(*[F.col("before")[k].isNull() for k in keys]), True)
+    moves = (F.col("op") == "U") & F.col("before").isNotNull() & keyed & ~key_of("before", keys).eqNullSafe(key_of("after", keys))
+    full = ~F.col("partial") | (F.col("op") == "I")
+    told = F.size(F.array_except(names, "has_before")) == 0
+    nothing, none = F.lit(None), F.array(*[F.lit(True) for _ in schema.fields])
+
+    def step(n: int, op: str, row: str, vals, info, known, old, moved) -> Column:
+        return F.struct(
+            F.struct(F.col("at.lsn").alias("lsn"), F.col("at.seq").alias("seq"), F.lit(n).alias("n")).alias("at"), F.lit(op).alias("op"), key_of(row, keys).alias("key"),
+            vals.alias("vals"), info.alias("info"), known.alias("known"), old.alias("old"), moved.alias("moved"),
+        )
+
+    old, empty = _values(F.col("before"), schema), _values(F.from_json(F.lit(None).cast("string"), schema), schema)
+    old = F.when(F.col("before").isNotNull() & (F.col("op") != "I"), old)
+    info = F.when(full, none).otherwise(F.transform(names, lambda c: F.array_contains("has_after", c)))
+    gone = step(0, "D", "before", empty, none, told, old, F.lit(None).cast(_key_type(schema, keys)))
+    here = step(
+        1, "U", "after", _values(F.col("after"), schema), info, (F.col("op") == "I") | moves | told, F.when(~moves, old),
+        F.when(moves & F.exists(info, lambda x: ~x), key_of("before", keys)).otherwise(nothing.cast(_key_type(schema, keys))),
+    )
+    made = F.when(F.col("op") == "D", F.array(gone)).when(moves, F.array(gone, here)).otherwise(F.array(here))
+    return live.select(F.explode(made).alias("s")).select("s.*")
+
+
+def _key_type(schema: T.StructType, keys: list[str]) -> T.StructType:
+    return T.StructType([T.StructField(f"k{i}", schema[k].dataType) for i, k in enumerate(keys)])
+
+
+def _last(schema: T.StructType) -> list[Column]:
+    """For each value, the last that any record of the group tells, and whether one does."""
+    out = []
+    for i in range(len(schema.fields)):
+        out.append(F.max_by(F.col("vals")[f"v{i}"], F.when(F.col("info")[i], F.col("at"))).alias(f"v{i}"))
+        out.append(F.max(F.col("info")[i]).alias(f"i{i}"))
+    return out
+
+
+def _gathered(schema: T.StructType) -> list[Column]:
+    n = range(len(schema.fields))
+    return [F.struct(*[F.col(f"v{i}") for i in n]).alias("vals"), F.array(*[F.col(f"i{i}") for i in n]).alias("info")]
+
+
+def _settled(found: DataFrame, schema: T.StructType, keys: list[str], held: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Steps whose moved rows have all their values: those that the record lacks come from the old key, as it was just
+    before.  One round per link of a chain of moves; a batch without such records takes none."""
+    todo = found.where(F.col("moved").isNotNull()).persist()
+    done = found.where(F.col("moved").isNull())
+    place = lambda a: F.struct(F.col(f"{a}.at.lsn"), F.col(f"{a}.at.seq"))
+    while not todo.isEmpty():
+        a, b = todo.alias("a"), todo.alias("b")
+        earlier = (F.col("a.moved") == F.col("b.key")) & (place("b") < place("a"))
+        ready = a.join(b, earlier, "left_anti").persist()
+        r, d = ready.alias("r"), done.alias("d")
+        told = r.join(d, (F.col("r.moved") == F.col("d.key")) & (place("d") < place("r")))
+        told = told.select(F.col("r.at").alias("to"), F.col("d.at").alias("at"), F.col("d.vals").alias("vals"), F.col("d.info").alias("info"))
+        told = told.groupBy("to").agg(*_last(schema)).select("to", *[c.alias(f"t_{n}") for n, c in zip(("vals", "info"), _gathered(schema), strict=True)])
+        rows = held(ready.select(F.col("moved").alias("key")).distinct())
+        full = ready.join(told, F.col("at") == F.col("to"), "left").join(rows.select(F.col("key").alias("hk"), F.col("held")), F.col("moved") == F.col("hk"), "left")
+        of = lambda i: F.when(F.col("info")[i], F.col("vals")[f"v{i}"]).when(F.col("t_info")[i], F.col("t_vals")[f"v{i}"]).otherwise(F.col("held")[f"v{i}"])
+        vals = F.struct(*[of(i).alias(f"v{i}") for i in range(len(schema.fields))])
+        filled = full.select("at", "op", "key", vals.alias("vals"), F.array(*[F.lit(True) for _ in schema.fields]).alias("info"), "known", "old", F.lit(None).cast(_key_type(schema, keys)).alias("moved"))
+        done = done.unionByName(filled)
+        todo = todo.join(ready.select(F.col("at").alias("ra")), F.col("at") == F.col("ra"), "left_anti").persist()
+    return done
+
+
+def folded(typed: DataFrame, schema: T.StructType, keys: list[str], partial: bool, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """One row per key: key, op (U, D), vals and info (as of the last record that tells each), known and old (the row
+    before the batch, as far as the first record tells).  ``partial``: whether any record is; ``held(keys)`` gives the
+    table's rows (key, held) before the batch."""
+    made = steps(typed, schema, keys)
+    if partial:
+        made = _settled(made, schema, keys, held)
+    first = F.min_by(F.struct("known", "old"), "at").alias("was")
+    if partial:
+        rows = made.groupBy("key").agg(F.max_by("op", "at").alias("op"), first, *_last(schema)).select("key", "op", *_gathered(schema), "was.known", "was.old")
+    else:
+        last = F.max_by(F.struct("op", "vals", "info"), "at").alias("now")
+        rows = made.groupBy("key").agg(last, first).select("key", "now.op", "now.vals", "now.info", "was.known", "was.old")
+    return rows
+
+
+def net(typed: DataFrame, schema: T.StructType, keys: list[str], held: Callable[[DataFrame], DataFrame], partial: bool = True, old: bool = True, truncated: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """The net change of each key: key, op, old and new rows (structs with the table's names; null: no such row).
+
+    The table is looked at (``held``) only for keys whose records lack values, or, if ``old`` is asked for, don't tell
+    the row before.  ``keep`` may persist what is used twice.
     """
-    row = lambda c: F.struct(*[F.col(f"{c}.{k}").alias(k) for k in keys])
-    key = F.when(F.col("before").isNotNull(), row("before")).when(F.col("after").isNotNull(), row("after"))
-    held = table.select(F.struct(*[F.col(k) for k in keys]).alias("_key"), F.struct(*table.columns).alias("_held"))
-    out = typed.withColumn("_own", key).join(held, F.col("_own").eqNullSafe(F.col("_key")), "left")
-    return out.withColumn("before", F.when(F.col("op") == "I", F.lit(None)).otherwise(F.coalesce("_held", "before"))).drop("_own", "_key", "_held")
+    nothing = lambda keys_: keys_.select("key", F.lit(None).cast(_values_type(schema)).alias("held")).limit(0)
+    held = nothing if truncated else held
+    rows = keep(folded(typed, schema, keys, partial, held))
+    lacks = (F.col("op") == "U") & F.exists("info", lambda x: ~x) if partial else F.lit(False)
+    asks = lacks | (~F.col("known") if old else F.lit(False))
+    wanted = rows.where(asks).select("key")
+    joined = rows.join(held(wanted).select(F.col("key").alias("hk"), "held"), F.col("key").eqNullSafe(F.col("hk")), "left")
+    vals = F.col("vals")
+    if partial:
+        vals = F.struct(*[F.when(F.col("info")[i], F.col("vals")[f"v{i}"]).otherwise(F.col("held")[f"v{i}"]).alias(f"v{i}") for i in range(len(schema.fields))])
+    was = F.when(F.col("known"), F.col("old")).otherwise(F.col("held"))
+    if truncated:
+        was = F.lit(None).cast(_values_type(schema))
+    return joined.select("key", "op", F.when(was.isNotNull(), row_of(was, schema)).alias("old"), F.when(F.col("op") == "U", row_of(vals, schema)).alias("new"))
+
+
+def _values_type(schema: T.StructType) -> T.StructType:
+    return T.StructType([T.StructField(f"v{i}", f.dataType) for i, f in enumerate(schema.fields)])
+
+
+def looked_up(table: DataFrame, keys: list[str], wanted: DataFrame, few: bool) -> DataFrame:
+    """Rows of ``table`` with the wanted keys: key and held (values by position).  ``few``: the keys are known to be so
+    few that they can be sent to all executors, and the table is not shuffled."""
+    rows = table.select(key_of(F.struct(*[F.col(f"`{c}`") for c in table.columns]), keys).alias("key"), _values(F.struct(*[F.col(f"`{c}`") for c in table.columns]), table.schema).alias("held"))
+    wanted = wanted.select(F.col("key").alias("wk")).distinct()
+    return rows.join(F.broadcast(wanted) if few else wanted, F.col("key").eqNullSafe(F.col("wk")), "left_semi")
+
+
+def next_version(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """``table`` after the records in ``changes`` (of ``SCHEMA``, of this table only)."""
+    schema = table.schema
+    typed = images(changes, schema)
+    cut = typed.where("op = 'T'").limit(1).count() > 0
+    change = net(typed, schema, keys, lambda wanted: looked_up(table, keys, wanted, False), old=False, truncated=cut)
+    left = table.where(F.lit(False)) if cut else table.join(change.select("key"), key_of(F.struct(*[F.col(f"`{c}`") for c in table.columns]), keys).eqNullSafe(F.col("key")), "left_anti")
+    return left.unionByName(change.where("new is not null").select("new.*"))

@@ -155,10 +155,10 @@ def transactions(messages: Iterator[bytes]) -> Iterator[tuple[int, list[tuple]]]
             yield n, rows
             rows = []
         elif c.kind == "truncate":
-            rows += [(lsn * 1_000_000 + n, xid, t, "T", None, None, False) for t in c.tables]
+            rows += [(lsn, len(rows) + i, xid, t, "T", None, None, False) for i, t in enumerate(c.tables)]
         else:
             image = lambda r: None if r is None else json.dumps(r)
-            rows.append((lsn * 1_000_000 + n, xid, c.table, op[c.kind], image(c.before), image(c.after), c.partial))
+            rows.append((lsn, len(rows), xid, c.table, op[c.kind], image(c.before), image(c.after), c.partial))
 
 
 def framed(path: str) -> Iterator[bytes]:

@@ -6,12 +6,12 @@ import json
 import threading
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resultfeed.functions.encode import rendered
-from resultfeed.operators.diff import DIFF, TS
+from resultfeed.functions.encode import DIFF, TS, delivered, rendered
 
 
 @dataclass(frozen=True)
@@ -23,13 +23,13 @@ class Batch:
     seq: int
     ts: int
     events: DataFrame  # mz_timestamp, mz_diff, columns
-    snapshot: DataFrame  # the new result, in its order
+    snapshot: Callable[[], DataFrame]  # the new result, in its order
     subscribers: dict[str, list[str]]  # mode -> ids
 
 
 def event_json(df: DataFrame) -> Column:
     """{"mz_timestamp", "mz_diff", "data": {..}} with explicit nulls."""
-    data = F.struct(*[rendered(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema.fields if f.name not in (TS, DIFF)])
+    data = F.struct(*[rendered(F.col(f"`{f.name}`"), f.dataType).alias(delivered(f)) for f in df.schema.fields if f.name not in (TS, DIFF)])
     return F.to_json(F.struct(F.col(TS), F.col(DIFF), data.alias("data")), {"ignoreNullFields": "false"})
 
 
@@ -43,7 +43,8 @@ def payloads(batch: Batch) -> dict[str, DataFrame]:
     if batch.subscribers.get("events"):
         out["events"] = batch.events.select(event_json(batch.events).alias("value"))
     if batch.subscribers.get("snapshot"):
-        out["snapshot"] = batch.snapshot.select(data_json(batch.snapshot).alias("value"))
+        rows = batch.snapshot()
+        out["snapshot"] = rows.select(data_json(rows).alias("value"))
     return out
 
 
@@ -63,7 +64,7 @@ class MemorySink(Sink):
     def write(self, batch: Batch) -> int:
         n = 0
         for mode, rows in payloads(batch).items():
-            body = {"seq": batch.seq, "ts": batch.ts, mode: [json.loads(r.value) for r in rows.toLocalIterator()]}
+            body = {"seq": batch.seq, "ts": batch.ts, mode: [json.loads(r.value) for r in rows.collect()]}
             with self._lock:
                 for sub in batch.subscribers[mode]:
                     self.messages.setdefault(sub, {})[(batch.query_id, batch.batch_id)] = body
@@ -106,18 +107,29 @@ class KafkaSink(Sink):
 
 @dataclass
 class BusSink(Sink):
-    """A message per subscriber through ``publish(subject, bytes)``; each payload is serialised once."""
+    """Messages per subscriber through ``publish(subject, bytes)``; each payload is serialised once.
+
+    A batch of more than ``most`` rows goes as several messages with one seq, numbered by ``part``; the one
+    that ends it says ``last``.  So the driver holds one message at a time, however large a batch is.
+    """
 
     publish: Callable[[str, bytes], None]
     subject: Callable[[str], str]
     flush: Callable[[], None] = lambda: None
+    most: int = 1000
 
     def write(self, batch: Batch) -> int:
         n = 0
         for mode, rows in payloads(batch).items():
-            body = ('{"seq":%d,"ts":%d,"%s":[' % (batch.seq, batch.ts, mode) + ",".join(r.value for r in rows.toLocalIterator()) + "]}").encode()
-            for sub in batch.subscribers[mode]:
-                self.publish(self.subject(sub), body)
-                n += 1
+            part, held, left = 0, [], iter(r.value for r in rows.toLocalIterator())
+            while held or not part:
+                held = held or list(islice(left, self.most))
+                behind = list(islice(left, self.most))
+                parts = "" if not part and not behind else f'"part":{part},"last":{"false" if behind else "true"},'
+                body = f'{{"seq":{batch.seq},"ts":{batch.ts},{parts}"{mode}":[{",".join(held)}]}}'.encode()
+                for sub in batch.subscribers[mode]:
+                    self.publish(self.subject(sub), body)
+                    n += 1
+                part, held = part + 1, behind
         self.flush()
         return n

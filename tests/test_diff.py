@@ -79,3 +79,14 @@ def test_fold_last_and_sequence(spark):
     assert [r.k for r in fold_last(df, ["k"], "n", F.col("op") == "gone").collect()] == [2]
     got = seq_batches(spark.createDataFrame([("q", 5), ("q", 9), ("q", 9), ("r", 1)], "q string, b long"), "q", "b")
     assert sorted((r.q, r.b, r.seq, r.n_events) for r in got.collect()) == [("q", 5, 1, 1), ("q", 9, 2, 2), ("r", 1, 1, 1)]
+
+
+def test_any_column_names(spark):
+    names = ["_n", "mz_diff", "a.b", "_d", "_copy", "mz_timestamp"]
+    old = spark.createDataFrame([(1, 2, "x", 3, 4, 5), (2, 2, "x", 3, 4, 5)], ", ".join(f"c{i} string" if i == 2 else f"c{i} long" for i in range(6))).toDF(*names)
+    new = spark.createDataFrame([(1, 7, "y", 3, 4, 5), (2, 2, "x", 3, 4, 5), (2, 2, "x", 3, 4, 5)], ", ".join(f"c{i} string" if i == 2 else f"c{i} long" for i in range(6))).toDF(*names)
+    for made, n in ((diff_bag(old, new), 3), (diff_identity(old, new, ["_n"]), 3), (diff_identity(old, new, ["a.b", "mz_diff"]), 3)):
+        rows = [tuple(r) for r in made.collect()]
+        assert len(rows) == n and sum(r[1] for r in rows) == 1 and (0, 1, 1, 7, "y", 3, 4, 5) in rows
+        back = fold(init_events(old, 0).unionByName(made))
+        assert back.columns == names and Counter(tuple(r) for r in back.collect()) == Counter(tuple(r) for r in new.collect())

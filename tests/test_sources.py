@@ -76,7 +76,9 @@ def test_values():
 
 def test_transactions_are_whole():
     got = list(transactions(iter([relation(), begin(1, 3), INSERT, INSERT, commit(), begin(2, 4), INSERT])))
-    assert len(got) == 1 and [r[1:4] for r in got[0][1]] == [(3, "users", "I")] * 2
+    assert len(got) == 1 and [r[:5] for r in got[0][1]] == [(1, 0, 3, "users", "I"), (1, 1, 3, "users", "I")]
+    late = list(transactions(iter([relation(), begin(0x1000 << 32, 3), INSERT, commit()])))
+    assert late[0][1][0][0] == 0x1000 << 32
 
 
 def test_stream_source(spark, tmp_path):
@@ -96,30 +98,38 @@ def test_stream_source(spark, tmp_path):
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
 
 
-def log_of(spark, rows):
-    return changelog.images(spark.createDataFrame(rows, changelog.SCHEMA), SCHEMA)
-
-
-def test_apply(spark):
+def test_next_version(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], SCHEMA)
     j = lambda i, v="x": f'{{"id": {i}, "v": "{v}"}}'
-    log = log_of(spark, [
-        (1, 1, "t", "I", None, j(4, "d"), False), (2, 1, "t", "U", None, j(1, "a1"), False), (3, 1, "t", "U", None, j(1, "a2"), False), (4, 1, "t", "D", j(2), None, False),
-        (5, 1, "t", "I", None, j(2, "again"), False), (6, 1, "t", "U", j(3, "c"), j(9, "moved"), False), (7, 1, "t", "U", None, '{"id": 4}', True),
-    ])
-    got = {tuple(r) for r in changelog.apply(t, log.where("lsn < 7"), ["id"]).collect()}
-    assert got == {(1, "a2"), (2, "again"), (4, "d"), (9, "moved")}
-    now = {tuple(r) for r in changelog.apply(changelog.apply(t, log.where("lsn < 7"), ["id"]), log.where("lsn = 7"), ["id"]).collect()}
-    assert (4, "d") in now  # what a partial record lacks stays
-    wiped = log_of(spark, [(1, 1, "t", "I", None, j(7), False), (2, 1, "t", "T", None, None, False), (3, 1, "t", "I", None, j(8), False)])
-    assert [tuple(r) for r in changelog.apply(t, wiped, ["id"]).collect()] == [(8, "x")]
-
-
-def test_before_images(spark):
-    t = spark.createDataFrame([(1, "a")], SCHEMA)
-    log = log_of(spark, [(1, 1, "t", "U", None, '{"id": 1, "v": "b"}', False), (2, 1, "t", "D", '{"id": 1}', None, False), (3, 1, "t", "D", '{"id": 5}', None, False)])
-    got = {r.lsn: r.before for r in changelog.before_images(t, log, ["id"]).collect()}
-    assert got[1].v == "a" and got[2].v == "a" and got[3].v is None
+    log = spark.createDataFrame([
+        (1, 0, 1, "t", "I", None, j(4, "d"), False), (1, 1, 1, "t", "U", None, j(1, "a1"), False), (1, 2, 1, "t", "U", None, j(1, "a2"), False), (2, 0, 1, "t", "D", j(2), None, False),
+        (2, 1, 1, "t", "I", None, j(2, "again"), False), (3, 0, 1, "t", "U", j(3, "c"), j(9, "moved"), False), (4, 0, 1, "t", "U", None, '{"id": 4}', True), (4, 1, 1, "t", "U", None, '{"id": 2, "v": null}', True),
+    ], changelog.SCHEMA)
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(changelog.next_version(t, log.where("lsn < 4"), ["id"])) == {(1, "a2"), (2, "again"), (4, "d"), (9, "moved")}
+    assert rows(changelog.next_version(t, log, ["id"])) == {(1, "a2"), (2, None), (4, "d"), (9, "moved")}  # what a partial record lacks stays; null is set
+    wiped = spark.createDataFrame([(1, 0, 1, "t", "I", None, j(7), False), (2, 0, 1, "t", "T", None, None, False), (3, 0, 1, "t", "I", None, j(8), False)], changelog.SCHEMA)
+    assert rows(changelog.next_version(t, wiped, ["id"])) == {(8, "x")}
+    # moves of moves, with values that no record tells
+    chain = spark.createDataFrame([(n, 0, 1, "t", "U", f'{{"id": {a}}}', f'{{"id": {b}}}', True) for n, (a, b) in enumerate([(1, 10), (10, 11), (2, 1), (11, 12)])], changelog.SCHEMA)
+    assert rows(changelog.next_version(t, chain, ["id"])) == {(12, "a"), (1, "b"), (3, "c")}
+
+
+def test_old_rows(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], SCHEMA)
+    log = spark.createDataFrame([
+        (1, 0, 1, "t", "U", None, '{"id": 1, "v": "b"}', False), (2, 0, 1, "t", "D", '{"id": 2}', None, False), (3, 0, 1, "t", "D", '{"id": 5}', None, False),
+        (4, 0, 1, "t", "U", '{"id": 3, "v": "told"}', '{"id": 3, "v": "d"}', False), (5, 0, 1, "t", "I", None, '{"id": 9, "v": "n"}', False),
+    ], changelog.SCHEMA)
+    asked = []
+
+    def held(wanted):
+        asked.extend(r.key.k0 for r in wanted.collect())
+        return changelog.looked_up(t, ["id"], wanted, True)
+
+    got = {r.key.k0: (r.op, r.old and r.old.v, r.new and r.new.v) for r in changelog.net(changelog.images(log, SCHEMA), SCHEMA, ["id"], held).collect()}
+    assert got == {1: ("U", "a", "b"), 2: ("D", "b", None), 5: ("D", None, None), 3: ("U", "told", "d"), 9: ("U", None, "n")}
+    assert sorted(asked) == [1, 2, 5]  # a full image, or an insert, asks nothing of the table
 
 
 def test_encoding(spark):
