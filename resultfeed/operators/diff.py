@@ -64,21 +64,17 @@ def diff_identity(old: DataFrame, new: DataFrame, identity: list[str], ts: int =
     if missing:
         log.warning("identity columns %s are not in the result; comparing whole rows", missing)
         return diff_bag(old, new, ts)
-    key = [f"c{names.index(c)}" for c in identity]
+    kinds = {f"c{i}": f.dataType.typeName() for i, f in enumerate(new.schema.fields)}
+    same = {c: {"map": f"array_sort(map_entries({c}))", "variant": f"to_json({c})"}.get(k, c) for c, k in kinds.items()}
+    key, whole = ", ".join(same[f"c{names.index(c)}"] for c in identity), ", ".join(same.values())
 
     def side(df: DataFrame, tag: str) -> DataFrame:
-        df = _placed(df)
-        keys = _keys(df, key)
-        number = F.row_number().over(Window.partitionBy(*keys).orderBy(*_keys(df, columns)))
-        return df.select(*[k.alias(f"{tag}k{i}") for i, k in enumerate(keys)], number.alias(f"{tag}n"), F.struct(*_keys(df, columns)).alias(f"{tag}c"), F.struct(*columns).alias(f"{tag}r"))
-
-    a, b = side(old, "a"), side(new, "b")
-    on = F.col("an") == F.col("bn")
-    for i in range(len(identity)):
-        on = on & F.col(f"ak{i}").eqNullSafe(F.col(f"bk{i}"))
-    changed = a.join(b, on, "full_outer").where(~F.col("ac").eqNullSafe(F.col("bc")))
-    pair = F.filter(F.array(F.struct(F.lit(-1).alias("d"), F.col("ar").alias("r")), F.struct(F.lit(1).alias("d"), F.col("br").alias("r"))), lambda e: e["r"].isNotNull())
-    return _events(changed.select(F.explode(pair).alias("e")).select("e.d", "e.r.*"), F.col("d"), ts, names)
+        number = f"row_number() OVER (PARTITION BY {key} ORDER BY {whole})"
+        return _placed(df).selectExpr(f"struct({key}) AS {tag}k", f"{number} AS {tag}n", f"struct({whole}) AS {tag}c", f"struct({', '.join(columns)}) AS {tag}r")
+
+    paired = side(old, "a").join(side(new, "b"), F.expr("ak <=> bk AND an = bn"), "full_outer").where("NOT (ac <=> bc)")
+    rows = paired.selectExpr("explode(filter(array(named_struct('d', -1, 'r', ar), named_struct('d', 1, 'r', br)), e -> e.r IS NOT NULL)) AS e")
+    return _events(rows.select("e.d", "e.r.*"), F.col("d"), ts, names)
 
 
 def diff(old: DataFrame, new: DataFrame, identity: list[str] | None = None, ts: int = 0) -> DataFrame:

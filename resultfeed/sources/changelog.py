@@ -7,8 +7,11 @@ Records are ordered by (lsn, seq).  ``after`` is a JSON object.  A record that i
 
 from __future__ import annotations
 
+import functools
+import json
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,13 +28,33 @@ def read_files(spark, path: str, max_files: int = 1) -> DataFrame:
     return spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", max_files).json(path)
 
 
+def _once(make):
+    """Columns of a table's plan, made once per session and table: they take some hundred calls into the JVM, a good part
+    of a small batch's time."""
+
+    @functools.lru_cache(maxsize=256)
+    def cached(context: int, *key):
+        return make(*((T.StructType.fromJson(json.loads(key[0])),) + key[1:]))
+
+    @functools.wraps(make)
+    def wrapped(schema: T.StructType, *more):
+        return cached(id(SparkContext._active_spark_context), schema.json(), *(tuple(x) if isinstance(x, list) else x for x in more))
+
+    return wrapped
+
+
 def images(changes: DataFrame, schema: T.StructType) -> DataFrame:
     """Records of one table with typed ``before`` and ``after`` structs, and the columns that each holds."""
+    return changes.select(*_image_columns(schema))
+
+
+@_once
+def _image_columns(schema: T.StructType) -> list[Column]:
     held = lambda c: F.coalesce(F.json_object_keys(c), F.array().cast("array<string>"))
-    return changes.select(
+    return [
         F.struct(F.col("lsn"), F.coalesce("seq", F.lit(0).cast("long")).alias("seq")).alias("at"), "op", F.coalesce("partial", F.lit(False)).alias("partial"),
         F.from_json("before", schema).alias("before"), F.from_json("after", schema).alias("after"), held("before").alias("has_before"), held("after").alias("has_after"),
-    )
+    ]
 
 
 def key_of(row: str | Column, keys: list[str]) -> Column:
@@ -48,7 +71,7 @@ def row_of(values: Column, schema: T.StructType) -> Column:
     return F.struct(*[values[f"v{i}"].alias(f.name) for i, f in enumerate(schema.fields)])
 
 
-def steps(typed: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+def steps(typed: DataFrame, schema: T.StructType, keys: list[str], truncated: bool = True) -> DataFrame:
     """What each record does to a key: at (lsn, seq, n), op (U: the row is there with ``vals``; D: it's gone), ``info``
     (which values the record tells), the row before it if the record tells (``known``, ``old``), and ``moved`` (the
     old key, where a partial record moves a row to another key).
@@ -56,9 +79,16 @@ def steps(typed: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
     An update that changes the key is a delete of the old one, then a row at the new one.  An insert says that there
     was no row before.  Records before the last truncation are dropped.
     """
+    live = typed
+    if truncated:
+        cut = typed.where("op = 'T'").agg(F.max("at").alias("cut"))
+        live = typed.where("op <> 'T'").join(F.broadcast(cut), F.col("cut").isNull() | (F.col("at") > F.col("cut")))  # one row
+    return live.select(_step_column(schema, keys)).select("s.*")
+
+
+@_once
+def _step_column(schema: T.StructType, keys: list[str]) -> Column:
     names = F.array(*[F.lit(f.name) for f in schema.fields])
-    cut = typed.where("op = 'T'").agg(F.max("at").alias("cut"))
-    live = typed.where("op <> 'T'").join(F.broadcast(cut), F.col("cut").isNull() | (F.col("at") > F.col("cut")))  # one row
     keyed = ~F.array_contains(F.array(*[F.col("before")[k].isNull() for k in keys]), True)
     moves = (F.col("op") == "U") & F.col("before").isNotNull() & keyed & ~key_of("before", keys).eqNullSafe(key_of("after", keys))
     full = ~F.col("partial") | (F.col("op") == "I")
@@ -80,13 +110,14 @@ def steps(typed: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
         F.when(moves & F.exists(info, lambda x: ~x), key_of("before", keys)).otherwise(nothing.cast(_key_type(schema, keys))),
     )
     made = F.when(F.col("op") == "D", F.array(gone)).when(moves, F.array(gone, here)).otherwise(F.array(here))
-    return live.select(F.explode(made).alias("s")).select("s.*")
+    return F.explode(made).alias("s")
 
 
 def _key_type(schema: T.StructType, keys: list[str]) -> T.StructType:
     return T.StructType([T.StructField(f"k{i}", schema[k].dataType) for i, k in enumerate(keys)])
 
 
+@_once
 def _last(schema: T.StructType) -> list[Column]:
     """For each value, the last that any record of the group tells, and whether one does."""
     out = []
@@ -96,6 +127,7 @@ def _last(schema: T.StructType) -> list[Column]:
     return out
 
 
+@_once
 def _gathered(schema: T.StructType) -> list[Column]:
     n = range(len(schema.fields))
     return [F.struct(*[F.col(f"v{i}") for i in n]).alias("vals"), F.array(*[F.col(f"i{i}") for i in n]).alias("info")]
@@ -125,11 +157,11 @@ def _settled(found: DataFrame, schema: T.StructType, keys: list[str], held: Call
     return done
 
 
-def folded(typed: DataFrame, schema: T.StructType, keys: list[str], partial: bool, held: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def folded(typed: DataFrame, schema: T.StructType, keys: list[str], partial: bool, held: Callable[[DataFrame], DataFrame], truncated: bool = True) -> DataFrame:
     """One row per key: key, op (U, D), vals and info (as of the last record that tells each), known and old (the row
     before the batch, as far as the first record tells).  ``partial``: whether any record is; ``held(keys)`` gives the
     table's rows (key, held) before the batch."""
-    made = steps(typed, schema, keys)
+    made = steps(typed, schema, keys, truncated)
     if partial:
         made = _settled(made, schema, keys, held)
     first = F.min_by(F.struct("known", "old"), "at").alias("was")
@@ -141,26 +173,35 @@ def folded(typed: DataFrame, schema: T.StructType, keys: list[str], partial: boo
     return rows
 
 
-def net(typed: DataFrame, schema: T.StructType, keys: list[str], held: Callable[[DataFrame], DataFrame], partial: bool = True, old: bool = True, truncated: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def net(
+    typed: DataFrame, schema: T.StructType, keys: list[str], held: Callable[[DataFrame], DataFrame] | None, partial: bool = True, old: bool = True,
+    truncated: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df, few: bool = False,
+) -> DataFrame:
     """The net change of each key: key, op, old and new rows (structs with the table's names; null: no such row).
 
-    The table is looked at (``held``) only for keys whose records lack values, or, if ``old`` is asked for, don't tell
-    the row before.  ``keep`` may persist what is used twice.
+    The table is looked at (``held``; None: it has nothing that could be asked for) only for keys whose records lack
+    values, or, if ``old`` is asked for, don't tell the row before.  ``partial`` and ``truncated``: whether any record
+    is.  ``keep`` may persist what is used twice; ``few``: the keys can be sent to all executors.
     """
     nothing = lambda keys_: keys_.select("key", F.lit(None).cast(_values_type(schema)).alias("held")).limit(0)
-    held = nothing if truncated else held
-    rows = keep(folded(typed, schema, keys, partial, held))
+    rows = folded(typed, schema, keys, partial, nothing if truncated or held is None else held, truncated)
+    if truncated or held is None or not (partial or old):
+        return rows.select(*_net_columns(schema, False, truncated))
+    rows = keep(rows)
     lacks = (F.col("op") == "U") & F.exists("info", lambda x: ~x) if partial else F.lit(False)
     asks = lacks | (~F.col("known") if old else F.lit(False))
-    wanted = rows.where(asks).select("key")
-    joined = rows.join(held(wanted).select(F.col("key").alias("hk"), "held"), F.col("key").eqNullSafe(F.col("hk")), "left")
-    vals = F.col("vals")
-    if partial:
-        vals = F.struct(*[F.when(F.col("info")[i], F.col("vals")[f"v{i}"]).otherwise(F.col("held")[f"v{i}"]).alias(f"v{i}") for i in range(len(schema.fields))])
-    was = F.when(F.col("known"), F.col("old")).otherwise(F.col("held"))
-    if truncated:
-        was = F.lit(None).cast(_values_type(schema))
-    return joined.select("key", "op", F.when(was.isNotNull(), row_of(was, schema)).alias("old"), F.when(F.col("op") == "U", row_of(vals, schema)).alias("new"))
+    found = held(rows.where(asks).select("key")).select(F.col("key").alias("hk"), "held")
+    joined = rows.join(F.broadcast(found) if few else found, F.col("key").eqNullSafe(F.col("hk")), "left")
+    return joined.select(*_net_columns(schema, True, False))
+
+
+@_once
+def _net_columns(schema: T.StructType, held: bool, truncated: bool) -> list[Column]:
+    nothing = F.lit(None).cast(_values_type(schema))
+    found = F.col("held") if held else nothing
+    vals = F.struct(*[F.when(F.col("info")[i], F.col("vals")[f"v{i}"]).otherwise(found[f"v{i}"]).alias(f"v{i}") for i in range(len(schema.fields))])
+    was = nothing if truncated else F.when(F.col("known"), F.col("old")).otherwise(found)
+    return [F.col("key"), F.col("op"), F.when(was.isNotNull(), row_of(was, schema)).alias("old"), F.when(F.col("op") == "U", row_of(vals, schema)).alias("new")]
 
 
 def _values_type(schema: T.StructType) -> T.StructType:

@@ -1,13 +1,14 @@
 """PostgreSQL's logical replication messages (``pgoutput``, version 1): decoder and Spark data source.
 
 ``Decoder`` keeps relations by id and turns messages into changes; old tuples are kept as before images.
-``PgOutputSource`` reads a file of framed messages (as a replication client would spool them) as a stream of
-change records, whole transactions at a time.
+``PgOutputSource`` reads files of framed messages, as :mod:`~resultfeed.sources.replication` spools them, as a stream
+of change records, whole transactions at a time.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -17,6 +18,7 @@ from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from resultfeed.functions.types import JSON_OIDS, text_value
 
 from .changelog import SCHEMA
+from .replication import SUFFIX, framed, number
 
 
 @dataclass(frozen=True)
@@ -161,47 +163,47 @@ def transactions(messages: Iterator[bytes]) -> Iterator[tuple[int, list[tuple]]]
             rows.append((lsn, len(rows), xid, c.table, op[c.kind], image(c.before), image(c.after), c.partial))
 
 
-def framed(path: str) -> Iterator[bytes]:
-    """Messages of a file, each behind its length (4 bytes, big-endian); a last incomplete one is left."""
-    with open(path, "rb") as f:
-        while len(head := f.read(4)) == 4:
-            body = f.read(struct.unpack(">I", head)[0])
-            if len(body) < struct.unpack(">I", head)[0]:
-                return
-            yield body
+class _Reader(SimpleDataSourceStreamReader):
+    """Offsets are numbers of spooled files: each holds whole transactions and stands by itself, so that a batch reads
+    its own files only."""
 
+    def __init__(self, path: str, most: int, keep: bool):
+        self.path, self.most, self.keep = path, most, keep
 
-class _Reader(SimpleDataSourceStreamReader):
-    """Offsets are numbers of transactions, so that none is ever split."""
+    def _numbers(self) -> list[int]:
+        return sorted(number(n) for n in os.listdir(self.path) if n.endswith(SUFFIX))
 
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
+    def _file(self, n: int) -> str:
+        return os.path.join(self.path, f"{n:020d}{SUFFIX}")
 
     def initialOffset(self) -> dict:  # noqa: N802
-        return {"transactions": 0}
-
-    def _between(self, start: int, end: int | None) -> tuple[list[tuple], int]:
-        rows, done = [], 0
-        for done, (_, part) in enumerate(transactions(framed(self.path)), 1):
-            if done <= start:
-                continue
-            rows += part
-            if done == end:
-                break
-        return rows, max(done, start)
+        return {"next": min(self._numbers(), default=0)}
+
+    def _rows(self, numbers: list[int]) -> Iterator[tuple]:
+        for n in numbers:
+            for _, rows in transactions(framed(self._file(n))):
+                yield from rows
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, end = self._between(start["transactions"], start["transactions"] + self.most)
-        return iter(rows), {"transactions": end}
+        found = [n for n in self._numbers() if n >= start["next"]][: self.most]
+        return iter(list(self._rows(found))), {"next": found[-1] + 1 if found else start["next"]}
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        if start["transactions"] >= end["transactions"]:
-            return iter(())
-        return iter(self._between(start["transactions"], end["transactions"])[0])
+        return iter(list(self._rows([n for n in self._numbers() if start["next"] <= n < end["next"]])))
+
+    def commit(self, end: dict) -> None:
+        """Files that a finished batch has read go."""
+        for n in self._numbers() if not self.keep else []:
+            if n < end["next"]:
+                os.remove(self._file(n))
 
 
 class PgOutputSource(DataSource):
-    """``spark.readStream.format("pgoutput").option("path", ..)``; ``maxTransactions`` bounds a batch."""
+    """``spark.readStream.format("pgoutput").option("path", ..)``: a folder that a ``Spooler`` fills.
+
+    ``maxFiles`` bounds a batch (one file holds some megabytes at most, or one transaction); with ``keep`` files stay
+    when they have been read.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -211,4 +213,4 @@ class PgOutputSource(DataSource):
         return SCHEMA
 
     def simpleStreamReader(self, schema):  # noqa: N802
-        return _Reader(self.options["path"], int(self.options.get("maxTransactions", "1000")))
+        return _Reader(self.options["path"], int(self.options.get("maxFiles", "16")), self.options.get("keep", "false").lower() == "true")

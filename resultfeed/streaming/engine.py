@@ -44,6 +44,8 @@ COMPACT_SHARE = 0.1
 #: Changed keys that are sent to all executors rather than shuffled with the table; and those that are written into
 #: the scan's filter, so that Parquet's row groups are skipped.
 BROADCAST_KEYS, FILTER_KEYS = 200_000, 500
+#: Records that are handled in one task: a small batch's shuffles cost more than its work.
+ONE_TASK = 5_000
 #: Predicates in one pruning job.
 PREDICATES_AT_ONCE = 100
 #: Milliseconds from which a query is logged as slow.
@@ -94,6 +96,7 @@ class _Seen:
     rows: int
     cut: bool
     partial: bool
+    inserts: bool  # only
 
 
 @dataclass
@@ -175,9 +178,11 @@ class Engine:
             kept.append(df.persist())
             return kept[-1]
 
+        if seen.rows <= ONE_TASK:
+            changes = changes.coalesce(1)
         typed = changelog.images(changes.where(F.lower("tbl") == state.name), state.schema())
-        held = self._held(spark, state, 2 * seen.rows)
-        return keep(changelog.net(typed, state.schema(), state.keys, held, seen.partial, old, seen.cut, keep))
+        held = None if seen.inserts else self._held(spark, state, 2 * seen.rows)
+        return keep(changelog.net(typed, state.schema(), state.keys, held, seen.partial, old, seen.cut, keep, seen.rows <= BROADCAST_KEYS))
 
     def _advance(self, state: TableState, change: DataFrame, batch_id: int, seen: _Seen) -> TableState:
         """The table's next version: writes the changed keys only."""
@@ -372,9 +377,9 @@ class Engine:
     def _seen(self, changes: DataFrame) -> tuple[dict[str, _Seen], int, int]:
         """One job: records by table (as many rows as there are tables), transactions, and records."""
         name = F.lower("tbl").alias("tbl")
-        found = changes.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("op") == "T").alias("cut"), F.max(F.coalesce("partial", F.lit(False))).alias("partial"), F.collect_set("tx").alias("tx"))
+        found = changes.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.max(F.col("op") == "T").alias("cut"), F.max(F.coalesce("partial", F.lit(False))).alias("partial"), F.min(F.col("op").isin("I", "T")).alias("inserts"), F.collect_set("tx").alias("tx"))
         rows = found.collect()
-        return {r.tbl: _Seen(r.n, r.cut, r.partial) for r in rows if r.tbl in self.tables}, len({x for r in rows for x in r.tx}), sum(r.n for r in rows)
+        return {r.tbl: _Seen(r.n, r.cut, r.partial, r.inserts) for r in rows if r.tbl in self.tables}, len({x for r in rows for x in r.tx}), sum(r.n for r in rows)
 
     def _process(self, spark: SparkSession, kept: list[DataFrame], batch_id: int) -> None:
         changes = kept[0]
@@ -402,7 +407,9 @@ class Engine:
         for t in touched:
             if len(self.tables[t].deltas) >= MERGE:
                 self.tables[t] = self._merged(spark, self.tables[t])
-            self._view(self.spark, self.tables[t])
+                self._view(self.spark, self.tables[t])
+            elif spark is not self.spark:
+                self._view(self.spark, self.tables[t])
         self._save()
 
     def _rowwise(self, spark: SparkSession, queries: list[SharedQuery], change: dict[str, DataFrame], cut: set[str]) -> dict[str, tuple[DataFrame, DataFrame]]:

@@ -9,6 +9,7 @@ from resultfeed.functions.encode import content_key, from_row_json, row_json
 from resultfeed.functions.types import oid_type, spark_type, text_value
 from resultfeed.sources import changelog
 from resultfeed.sources.pgoutput import Decoder, PgOutputSource, transactions
+from resultfeed.sources.replication import Spooler
 
 COLUMNS = [("id", 23), ("name", 25), ("email", 25), ("age", 23), ("active", 16), ("created_at", 1114), ("updated_at", 1114), ("data", 3802)]
 
@@ -82,17 +83,27 @@ def test_transactions_are_whole():
 
 
 def test_stream_source(spark, tmp_path):
-    messages = [relation(), begin(1, 3), INSERT, commit(), begin(2, 4), b"D" + struct.pack(">I", 7) + b"K" + row(["1", *[None] * 7]), commit()]
-    (tmp_path / "log").write_bytes(b"".join(struct.pack(">I", len(m)) + m for m in messages))
+    s = Spooler(str(tmp_path / "spool"), most_bytes=1)
+    for m in [relation(), begin(1, 3), INSERT, commit(), begin(2, 4), b"D" + struct.pack(">I", 7) + b"K" + row(["1", *[None] * 7]), commit()]:
+        s.take(m)
     spark.dataSource.register(PgOutputSource)
-    stream = spark.readStream.format("pgoutput").option("path", str(tmp_path / "log")).option("maxTransactions", "1").load()
     seen = []
-    q = stream.writeStream.foreachBatch(lambda df, n: seen.append([tuple(r) for r in df.select("tx", "tbl", "op").collect()])).option("checkpointLocation", str(tmp_path / "c")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
+
+    def run():
+        stream = spark.readStream.format("pgoutput").option("path", str(tmp_path / "spool")).option("maxFiles", "1").load()
+        q = stream.writeStream.foreachBatch(lambda df, n: seen.append([tuple(r) for r in df.select("tx", "tbl", "op").collect()])).option("checkpointLocation", str(tmp_path / "c")).start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+
+    run()
     assert [x for x in seen if x] == [[(3, "users", "I")], [(4, "users", "D")]]
+    for m in [begin(3, 5), INSERT, commit()]:
+        s.take(m)
+    run()
+    assert [x for x in seen if x][2:] == [[(5, "users", "I")]]
+    assert len(list((tmp_path / "spool").glob("*.tx"))) <= 2  # what finished batches have read is gone
 
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
