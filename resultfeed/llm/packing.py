@@ -11,11 +11,13 @@ a shorter first one.  How to fill sequences is decided on the driver from the hi
 4. Small pieces go by best fit, largest first, into the gaps, and then into new sequences.
 
 The plan is a list of runs: ranks a..b among the pieces of one length go to sequences s.. at one offset.
-Pieces get their ranks from counts by (length, salt), so that no length, however common, is ordered in
-one task.  Several numbers of groups are tried and the plan with the fewest sequences is taken.
+A length is dealt to as many salts as it has ``RANKED`` pieces, so that no length, however common, is ordered in
+one task, and the plan's runs are cut at the salts' edges: a piece finds its place by its rank within (length, salt).
+Full pieces have a sequence of their own and take no part in this.  Several numbers of groups are tried and the plan
+with the fewest sequences is taken.
 
 Defined cases: a null or empty text is one piece with the end token only; repeated rows (and repeated
-ids) are packed each; an empty table gives an empty table.
+ids) are packed each; ids may be of any type that can be ordered; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import frugal, pieces
 from .common import cut, read_table
@@ -37,7 +40,8 @@ CAPACITY, END = 2048, 0
 #: Lengths from capacity / SMALL on are large.
 SMALL = 8
 GROUPS = (24, 48, 96, 192, 2048)
-SALTS = 64
+#: Pieces of one length that are ordered together, about.
+RANKED = 500_000
 #: Rows of a plan that are broadcast; a plan has some thousands.  A longer one is joined by shuffle.
 MOST_RUNS = 200_000
 
@@ -179,7 +183,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[Run], i
     return min((_planned(counts, capacity, g) for g in GROUPS), key=lambda p: p[1])
 
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "piece int, start long, length long, ids_crc32 long"
 
 
 def cut_lengths(n: int, capacity: int) -> np.ndarray:
@@ -189,7 +193,7 @@ def cut_lengths(n: int, capacity: int) -> np.ndarray:
 
 
 def pieces_of(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
-    """One row per piece of every document (``PIECES``), with ``ids`` (little-endian 32-bit, binary) if asked for."""
+    """One row per piece of every document (doc_id and ``PIECES``), with ``ids`` (little-endian 32-bit, binary) if asked for."""
 
     def run(batches):
         tool = encoder(vocabulary, ranks)
@@ -209,7 +213,26 @@ def pieces_of(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False,
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(raw, pa.binary())] * keep_ids, names=names + ["ids"] * keep_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), PIECES + ", ids binary" * keep_ids)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *T._parse_datatype_string(PIECES + ", ids binary" * keep_ids).fields])
+    return docs.select("doc_id", "text").mapInArrow(frugal(run), schema)
+
+
+def _places(runs: list[Run], parts: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int, int, int, int, int]]:
+    """Runs cut at the salts' edges: (length, salt, first, behind, sequence, offset), ranks within the salt."""
+    out, at = [], {k: [0, 0] for k in parts}  # salt under way, and its first rank
+    for r in sorted(runs, key=lambda r: (r.length, r.first)):
+        first, end = r.first, r.first + r.n
+        i, base = at[r.length]
+        while first < end:
+            salt, n = parts[r.length][i]
+            stop = min(end, base + n)
+            if first < stop:
+                out.append((r.length, salt, first - base, stop - base, r.sequence + first - r.first, r.offset))
+                first = stop
+            if first == base + n:
+                i, base = i + 1, base + n
+        at[r.length] = [i, base]
+    return out
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, vocabulary: str | None = None, ranks: str | None = None) -> DataFrame:
@@ -218,20 +241,29 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, voca
     Texts are encoded once; the pieces are checkpointed (without ids: some 50 bytes each).
     """
     spark = docs.sparkSession
-    made = cut(pieces_of(docs, capacity, keep_ids, vocabulary, ranks).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")))
-    counts = made.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).collect()  # capacity * SALTS rows at most
-    total: dict[int, int] = {}
-    before = []
-    for length, salt, n in sorted(counts):
-        before.append((length, salt, total.get(length, 0)))
-        total[length] = total.get(length, 0) + n
+    made = cut(pieces_of(docs, capacity, keep_ids, vocabulary, ranks))
+    columns = [*made.columns]
+    # full pieces: a sequence each, below zero.  Numbers of checkpointed rows stay.
+    full = made.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = made.where(F.col("length") < capacity)
+    total = {r[0]: r[1] for r in rest.groupBy("length").agg(F.count(F.lit(1))).collect()}  # capacity rows at most
+    common = {k: -(-n // RANKED) for k, n in total.items() if n > RANKED}
+    salts = F.coalesce(*[F.when(F.col("length") == k, F.lit(n)) for k, n in sorted(common.items())], F.lit(1))
+    salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("int"))
+    parts: dict[int, list[tuple[int, int]]] = {k: [(0, n)] for k, n in total.items() if k not in common}
+    if common:  # a row per RANKED pieces
+        for length, salt, n in salted.where(F.col("length").isin(*common)).groupBy("length", "salt").agg(F.count(F.lit(1))).orderBy("length", "salt").collect():
+            parts.setdefault(length, []).append((salt, n))
     runs, _ = plan(total, capacity)
-    offsets = spark.createDataFrame(before, "length long, salt int, before long")
-    table = spark.createDataFrame([(r.length, r.first, r.first + r.n, r.sequence, r.offset) for r in runs], "length long, first long, behind long, sequence long, offset long")
+    places = _places(runs, parts)
+    table = spark.createDataFrame(places, "length long, salt int, first long, behind long, sequence long, offset long")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = made.withColumn("place", F.row_number().over(order)).join(F.broadcast(offsets), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("place") - 1)
-    found = ranked.alias("a").join((F.broadcast(table) if len(runs) <= MOST_RUNS else table).alias("b"), (F.col("a.length") == F.col("b.length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("behind")))
-    return found.select("doc_id", "piece", "start", "a.length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset", *["ids"] * keep_ids)
+    ranked = salted.withColumn("rank", F.row_number().over(order) - 1)
+    a, b = ranked.alias("a"), (F.broadcast(table) if len(places) <= MOST_RUNS else table).alias("b")
+    found = a.join(b, (F.col("a.length") == F.col("b.length")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("behind")))
+    found = found.select(*[F.col(f"a.{c}") for c in columns], (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), "offset")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *["ids"] * keep_ids]
+    return found.unionByName(full).select(*names)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -37,6 +37,10 @@ _PLAIN = re.compile("[\t\n\r -~\xa0-ӿ‐-‧‰-⁞€]*")
 #: Longer unbroken runs (of letters, or of white space) are left to ``tokenizers``: the other library's
 #: pattern matcher gives up on runs of about a million.
 LONGEST_RUN = 100_000
+#: Longer texts are encoded part by part, so that memory stays bounded.  A part ends before a space between two ASCII
+#: letters: the pattern always begins a new word there, so the ids are those of the whole text.
+PART = 1 << 20
+_SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _LONG = re.compile(rf"\S{{{LONGEST_RUN}}}|\s{{{LONGEST_RUN}}}")
 
 
@@ -65,6 +69,17 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """Ids of a whole text as uint32."""
+        if len(text) <= 2 * PART:
+            return self._ids(text)
+        out, at = [], 0
+        while at < len(text):
+            end = _SAFE.search(text, at + PART) if at + 2 * PART < len(text) else None
+            stop = end.start() if end else len(text)
+            out.append(self._ids(text[at:stop]))
+            at = stop
+        return np.concatenate(out)
+
+    def _ids(self, text: str) -> np.ndarray:
         if self.quick is not None and _PLAIN.fullmatch(text) and not any(s in text for s in self.special) and (len(text) < LONGEST_RUN or not _LONG.search(text)):
             return np.asarray(self.quick.encode_ordinary(text), np.uint32)
         return np.asarray(self.exact.encode(text, add_special_tokens=False).ids, np.uint32)

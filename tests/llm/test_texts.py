@@ -41,6 +41,17 @@ def test_ids_of_hard_texts(plain, odd_rows):
         assert tool.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_in_parts(plain, monkeypatch):
+    """Parts end where no token can cross: the ids are those of the whole text."""
+    rng = random.Random(3)
+    monkeypatch.setattr(tokens, "PART", 40)
+    tool = tokens.encoder()
+    bits = ["word", " two", "Don't", " ", "  ", "\n", "12", " 3", "é", " à", "日本", "a b", " <|endoftext|> x", ".", " 's", "'s t"]
+    for n in range(300):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(60, 200)))
+        assert tool.ids(text).tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_sections_of_odd_rows(odd, odd_rows, plain, clashing, empty):
     out, names = tokens.section_counts(odd.select("doc_id", "text"))
     got = Counter()
@@ -101,6 +112,26 @@ def test_plan_is_a_packing(seed):
     assert packing.plan({}, 64) == ([], 0)
 
 
+def test_common_lengths_are_dealt_to_salts(spark, tmp_path, monkeypatch):
+    """Several salts per length, and the plan joined by shuffle: still a packing, as full as before."""
+    rows = [(i, "word " * (i % 7)) for i in range(900)] + [(1000 + i, "word " * 5000) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    before = {r.sequence_id for r in packing.pack(docs).collect()}
+    monkeypatch.setattr(packing, "RANKED", 40)
+    monkeypatch.setattr(packing, "MOST_RUNS", 0)
+    got = packing.pack(docs).collect()
+    assert len({r.sequence_id for r in got}) == len(before) and len(got) == 900 + sum(r.length == 2048 for r in got) + 3
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for items in places.values():
+        ends = np.cumsum([0, *[n for _, n in sorted(items)]]).tolist()
+        assert [a for a, _ in sorted(items)] == ends[:-1] and ends[-1] <= 2048
+    assert all(len(places[r.sequence_id]) == 1 for r in got if r.length == 2048)
+    named = packing.pack(docs.limit(50).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")))
+    assert named.count() == 50 and named.schema["doc_id"].dataType.typeName() == "string"
+
+
 def test_packing_of_odd_rows(odd, odd_rows, plain, clashing, empty):
     rows = packing.pack(odd, keep_ids=True).collect()
     got = Counter()
