@@ -9,7 +9,8 @@ Documents are linked if the Jaccard similarity of their sets of 5-word shingles
 3. The others are put into blocks of bounded count and bytes, together with what they share buckets
    with.  The unit of pairing is a block, or a pair of blocks that some bucket connects, never a pair of
    documents: a bucket with thousands of texts is a few block pairs, and a text is sent to its block and to
-   those pairs of blocks that its own buckets connect.
+   those pairs of blocks that its own buckets connect.  The pairs of a bucket with many blocks are made in
+   many tasks.
 4. In a block pair, pairs whose sizes cannot reach the threshold are dropped, then MinHash values are
    compared eight at a time: with m of n equal, the posterior of a uniform prior is Beta(m + 1, n - m + 1),
    and a pair goes when its probability of reaching the threshold falls below 1e-9.  The rest are verified by
@@ -19,7 +20,7 @@ Documents are linked if the Jaccard similarity of their sets of 5-word shingles
 
 Defined cases: a text of one to four words has one shingle, all its words; null and blank texts have
 none, hence no links, and are groups of their own; equal rows are copies of one another; rows with
-equal ids and different texts are different documents.  Rows are numbered once and stored with their
+equal ids and different texts are different documents; ids may be of any type that can be ordered.  Rows are numbered once and stored with their
 numbers; every later scan reads that table.
 """
 
@@ -40,8 +41,10 @@ THRESHOLD, SHINGLE = 0.8, 5
 HASHES, BAND_ROWS = 128, 4
 STEP, TOLERANCE = 8, 1e-9
 BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
-#: Pairs compared at once in a task.
-PAIRS_AT_ONCE = 1 << 18
+#: Blocks of one bucket that are paired with all its blocks in one task.
+PAIRED_BLOCKS = 64
+#: Pairs compared at once in a task, links gathered at once, and bytes of words hashed at once.
+PAIRS_AT_ONCE, LINKS_AT_ONCE, LETTERS_AT_ONCE = 1 << 18, 1 << 16, 1 << 19
 
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -63,6 +66,22 @@ def _powers(n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+def _word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A polynomial hash of each word, some words at a time."""
+    size, out = ends - starts, np.zeros(len(starts), np.uint64)
+    total, at = np.cumsum(size), 0
+    power = _powers(int(size.max()) if len(size) else 0)
+    while at < len(starts):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + LETTERS_AT_ONCE, "right")))
+        n = size[at:end]
+        edge = np.cumsum(n) - n
+        place = np.arange(int(n.sum())) - np.repeat(edge, n)
+        letters = data[np.repeat(starts[at:end], n) + place].astype(np.uint64) + np.uint64(1)
+        out[at:end] = mixed(np.add.reduceat(letters * power[place], edge) + n.astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+        at = end
+    return out
+
+
 def shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of each text's distinct shingles, sorted, and their bounds by text."""
     n = len(bounds) - 1
@@ -74,14 +93,13 @@ def shingles(data: np.ndarray, bounds: np.ndarray, width: int = SHINGLE) -> tupl
     last = np.zeros(len(data) + 1, bool)
     last[bounds[1:]] = True
     ends = np.flatnonzero(~space[:-1] & (space[1:] | last[1:])) + 1 if len(data) else np.zeros(0, np.int64)
-    # word hashes from prefix sums of a polynomial, restarted at each word by a table of powers
-    most = int((ends - starts).max()) if len(starts) else 0
-    power = _powers(most)
-    word = np.repeat(np.arange(len(starts)), ends - starts)
-    place = np.arange(len(word)) - np.repeat(np.cumsum(ends - starts) - (ends - starts), ends - starts)
-    letters = data[np.repeat(starts, ends - starts) + place].astype(np.uint64) + np.uint64(1)
-    hashes = mixed(np.add.reduceat(letters * power[place], np.cumsum(ends - starts) - (ends - starts)) + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)) if len(starts) else np.zeros(0, np.uint64)
-    del word
+    hashes = _word_hashes(data, starts, ends)
+    if n == 1 and len(hashes) >= width:  # one long text: no rows to keep apart
+        code = np.zeros(len(hashes) - width + 1, np.uint64)
+        for k in range(width):
+            code = code * _MULTIPLIER + hashes[k : k + len(code)]
+        code = np.unique(mixed(code))
+        return code, np.array([0, len(code)])
     of_text = np.searchsorted(bounds, starts, "right") - 1
     words = np.bincount(of_text, minlength=n)
     at = np.concatenate([[0], np.cumsum(words)])
@@ -200,24 +218,31 @@ def linked_pairs(code: np.ndarray, bounds: np.ndarray, left: np.ndarray, right:
         yield from verified(*(np.concatenate(z) for z in zip(*pending, strict=True)))
 
 
-def forest(n: int, pairs) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """Union-find over ``n`` rows: each row's root, and the pairs again."""
-    parent = list(range(n))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    seen = []
-    for a, b in pairs:
-        seen.append((a, b))
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            i, j = root(i), root(j)
-            if i != j:
-                parent[max(i, j)] = min(i, j)
-    return np.array([root(i) for i in range(n)], np.int64), seen
+def forest(n: int, pairs) -> np.ndarray:
+    """Each of ``n`` rows' root, the smallest row it is linked to by any path; ``pairs`` yields arrays of links, which are
+    not kept."""
+    parent = np.arange(n)
+
+    def joined(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal parent
+        while len(a):
+            while (up := parent[parent]).tobytes() != parent.tobytes():
+                parent = up
+            x, y = parent[a], parent[b]
+            apart = x != y
+            a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+
+    held, size = [], 0
+    for pair in pairs:
+        held.append(pair)
+        size += len(pair[0])
+        if size >= LINKS_AT_ONCE:
+            joined(*(np.concatenate(z) for z in zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        joined(*(np.concatenate(z) for z in zip(*held, strict=True)))
+    return parent
 
 
 def _prepared(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +271,7 @@ def _block_pair(table: pa.Table, threshold: float) -> pa.Table:
             np.add.at(links, b, mult[a])
             yield a, b
 
-    roots, _ = forest(len(cid), counted())
+    roots = forest(len(cid), counted())
     some = np.flatnonzero(links)
     hung = np.flatnonzero(roots != np.arange(len(cid)))
     return pa.table({
@@ -273,7 +298,7 @@ def _bucketed(rows: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: rid (its number), doc_id, copy_id (smallest id with the same text), class_id
     (smallest id of its group), n_links (other rows it is linked to, copies included), first (one row of each group)."""
-    return _grouped(numbered(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "rid"), threshold)
+    return _grouped(numbered(docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "rid"), threshold)
 
 
 def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
@@ -303,7 +328,11 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     across = members.groupBy("bucket").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo != hi").select("bucket")
     members = cut(members.join(cut(across), "bucket", "left_semi"))
     spread = cut(members.select("bucket", "block").distinct())
-    two = spread.alias("x").join(spread.alias("y"), "bucket").where("x.block < y.block").select("bucket", F.col("x.block").alias("b1"), F.col("y.block").alias("b2"))
+    # a bucket's blocks are dealt to salts, and all of them are sent to each salt: no task pairs a bucket's blocks alone
+    salted = spread.join(spread.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / PAIRED_BLOCKS).cast("int").alias("salts")), "bucket")
+    some = salted.select("bucket", F.col("block").alias("b1"), F.pmod(F.xxhash64("block"), F.col("salts")).cast("int").alias("salt"))
+    all_ = salted.select("bucket", F.col("block").alias("b2"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    two = some.join(all_, ["bucket", "salt"]).where("b1 < b2").select("bucket", "b1", "b2")
     ends = two.select("bucket", F.col("b1").alias("block"), "b1", "b2").unionByName(two.select("bucket", F.col("b2").alias("block"), "b1", "b2"))
     routed = members.join(ends, ["bucket", "block"]).select("cid", "block", "b1", "b2").distinct()
     own = placed.select("cid", "block", F.col("block").alias("b1"), F.col("block").alias("b2"))
@@ -334,7 +363,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The first document of each group, same columns."""
     rid = free_name(docs.columns, "rid")
     rows = numbered(docs, rid)
-    kept = _grouped(rows.select(F.col(rid).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")), threshold)
+    kept = _grouped(rows.select(F.col(rid).alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), threshold)
     return rows.join(kept.where("first").select(F.col("rid").alias(rid)), rid, "left_semi").select(*docs.columns)
 
 

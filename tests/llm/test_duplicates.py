@@ -63,7 +63,10 @@ def near_copies(rng, n, words=150):
 
 
 def test_links_by_brute_force(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 16)  # many pairs of blocks
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)  # many pairs of blocks
+    monkeypatch.setattr(jaccard, "PAIRED_BLOCKS", 2)
+    monkeypatch.setattr(jaccard, "LINKS_AT_ONCE", 50)
+    monkeypatch.setattr(jaccard, "LETTERS_AT_ONCE", 300)
     rng = random.Random(7)
     texts = near_copies(rng, 60) + near_copies(rng, 25) + [prose(rng, 80, 3000) for _ in range(40)]
     texts += [texts[0], texts[0], texts[3] + " \n", "", None, "one two", "one two", " one  two ", "one"]
@@ -110,6 +113,42 @@ def test_jaccard_of_odd_rows(odd, odd_rows, clashing, empty):
     assert jaccard.groups(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
 
 
+def test_ids_of_other_types(spark, tmp_path):
+    a, b = near_copies(random.Random(3), 1, 400)[0], "some other words " * 30
+    path = str(tmp_path / "t.parquet")
+    spark.createDataFrame([("x", a), ("y", a + " tail"), ("a", b), (None, b), ("q", None)], "doc_id string, text string").write.parquet(path)
+    df = spark.read.parquet(path)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.groups(df).collect()}
+    assert got == {"x": ("x", 1), "y": ("x", 1), "a": ("a", 1), None: ("a", 1), "q": ("q", 0)}
+    assert {r.doc_id for r in jaccard.keep_one(df).collect()} == {"x", "a", "q"}
+
+
+def test_forest():
+    rng = random.Random(2)
+    for n in (1, 5, 60):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(n)]
+        parent = list(range(n))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i, j in edges:
+            i, j = sorted((root(i), root(j)))
+            parent[j] = i
+        pairs = ((np.array([i]), np.array([j])) for i, j in edges)
+        assert jaccard.forest(n, pairs).tolist() == [root(i) for i in range(n)]
+
+
+def test_shingles_of_one_text_and_of_many_agree():
+    texts = [prose(random.Random(i), n).encode() for i, n in enumerate((1, 4, 5, 6, 300))]
+    code, ends = jaccard.shingles(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    for i, t in enumerate(texts):
+        alone, _ = jaccard.shingles(np.frombuffer(t, np.uint8), np.array([0, len(t)]))
+        assert alone.tolist() == code[ends[i] : ends[i + 1]].tolist()
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(50)] + [(5000, i) for i in range(2000, 2400)]
