@@ -7,7 +7,9 @@ the loop runs over the 60 bytes of a block, not over samples.  The 8 kHz samples
 integer interpolation and stored as 16-bit PCM.
 
 Defined cases: a null or empty text is 64 zero bytes; bytes that are no such WAV file decode to null;
-equal payloads have equal codecs, bytes and features.  Other columns pass through untouched.
+equal payloads have equal codecs, bytes and features.  Other columns pass through untouched; results take a free
+name where the input has one of theirs.  ``digest`` decodes a payload ``DECODED`` bytes at a time, so that a very long
+text costs its own bytes and little more.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ NAMES = {MU_LAW: "mulaw", A_LAW: "alaw", IMA_ADPCM: "adpcm"}
 CODECS = (MU_LAW, A_LAW, IMA_ADPCM)
 BLOCK, RATE, STORED_RATE = 64, 8000, 16000
 BLOCK_SAMPLES = 1 + 2 * (BLOCK - 4)
+#: Bytes of a payload that are decoded and measured at once; a multiple of the block.
+DECODED = 1 << 18
 
 #: Fixed values of IMA ADPCM: how a 4-bit code moves the step index.
 INDEX_STEPS = (-1, -1, -1, -1, 2, 4, 6, 8)
@@ -121,9 +127,9 @@ def parse(media: bytes) -> tuple[int, int, int] | None:
     return None
 
 
-def padded(data: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Payloads: zero bytes appended up to a positive multiple of 64."""
-    return [(x := data[a:b].tobytes()) + bytes(max(BLOCK, -(-len(x) // BLOCK) * BLOCK) - len(x)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+def padded(data: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+    """Payloads: zero bytes appended up to a positive multiple of 64, one at a time."""
+    return ((x := data[a:b].tobytes()) + bytes(max(BLOCK, -(-len(x) // BLOCK) * BLOCK) - len(x)) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
 
 
 def codec_of(payload: bytes) -> int:
@@ -154,8 +160,8 @@ def pcm(media: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[tuple[i
     return *resample(np.concatenate(rows) if rows else np.zeros(0, np.int16), bounds), found
 
 
-def features(samples: np.ndarray, bounds: np.ndarray) -> list[dict[str, int]]:
-    """Per row: samples, peak, sum of squares, zero crossings."""
+def features(samples: np.ndarray, bounds: np.ndarray) -> list[Measures]:
+    """Per row: samples, peak, sum of squares, zero crossings, CRC."""
     x = samples.astype(np.int64)
     energy = row_sums(x * x, bounds)
     sign = x < 0
@@ -167,7 +173,46 @@ def features(samples: np.ndarray, bounds: np.ndarray) -> list[dict[str, int]]:
     full = np.flatnonzero(bounds[1:] > bounds[:-1])
     if len(full):
         peak[full] = np.maximum.reduceat(np.abs(x), bounds[:-1][full])
-    return [{"n": int(n), "peak": int(p), "energy": int(e), "zc": int(z)} for n, p, e, z in zip(np.diff(bounds), peak, energy, crossings, strict=True)]
+    crc = [zlib.crc32(samples[a:b].astype("<i2").tobytes()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [Measures(int(n), int(p), int(e), int(z), c) for n, p, e, z, c in zip(np.diff(bounds), peak, energy, crossings, crc, strict=True)]
+
+
+@dataclass
+class Measures:
+    """Samples, peak, sum of squares, zero crossings and CRC of a stream of samples at the stored rate."""
+
+    n: int = 0
+    peak: int = 0
+    energy: int = 0
+    crossings: int = 0
+    crc: int = 0
+    below: bool | None = None  # whether the last sample was below zero
+
+    def add(self, samples: np.ndarray) -> None:
+        if not len(samples):
+            return
+        sign = samples < 0
+        self.n += len(samples)
+        self.peak = max(self.peak, abs(int(samples.min())), abs(int(samples.max())))
+        self.energy += sum(int(np.dot(x, x)) for x in (samples[i : i + DECODED].astype(np.int64) for i in range(0, len(samples), DECODED)))
+        self.crossings += int(np.count_nonzero(sign[1:] != sign[:-1])) + (self.below is not None and bool(sign[0]) != self.below)
+        self.below = bool(sign[-1])
+        self.crc = zlib.crc32(samples.astype("<i2").tobytes(), self.crc)
+
+
+def measured(payload: np.ndarray, codec: int, tables: dict[int, np.ndarray]) -> Measures:
+    """A payload's samples, decoded and resampled part by part.  The last sample of a part waits for the one behind it,
+    between which the resampler interpolates."""
+    out, held = Measures(), np.zeros(0, np.int16)
+    for at in range(0, len(payload), DECODED):
+        part = payload[at : at + DECODED]
+        samples = adpcm_blocks(part.reshape(-1, BLOCK)).ravel() if codec == IMA_ADPCM else tables[codec][part]
+        samples = np.concatenate([held, samples])
+        last = at + DECODED >= len(payload)
+        twice, _ = resample(samples, np.array([0, len(samples)]))
+        out.add(twice if last else twice[:-2])
+        held = samples[-1:]
+    return out
 
 
 def encode(df: DataFrame, text: str = "text", codec: int | None = None) -> tuple[DataFrame, dict[str, str]]:
@@ -206,36 +251,56 @@ def decode(df: DataFrame, media: str = "media") -> tuple[DataFrame, dict[str, st
 DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _digest_rows(media: list[bytes]) -> list[tuple]:
-    samples, bounds, found = pcm(media)
-    out = []
-    for m, f, x, a, b in zip(media, found, features(samples, bounds), bounds[:-1], bounds[1:], strict=True):
-        codec, start, end = f
-        payload = m[start:end]
-        told = f"{NAMES[codec]} {STORED_RATE} Hz n={x['n']} peak={x['peak']} energy={x['energy']} zc={x['zc']} pcm={zlib.crc32(samples[a:b].astype('<i2').tobytes()):08x}"
-        out.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), told))
-    return out
+def _digest_row(media: bytes, x: Measures) -> tuple:
+    codec, start, end = parse(media)
+    payload = memoryview(media)[start:end]
+    told = f"{NAMES[codec]} {STORED_RATE} Hz n={x.n} peak={x.peak} energy={x.energy} zc={x.crossings} pcm={x.crc:08x}"
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), told
 
 
-def digest(df: DataFrame, text: str = "text", codec: int | None = None) -> DataFrame:
+def _digest_rows(media: Iterator[bytes]) -> Iterator[tuple]:
+    """Short rows are decoded together, across their blocks; a long one by itself, part by part."""
+    tables = process_cache("law_tables", lambda: {MU_LAW: mu_law_table(), A_LAW: a_law_table()})
+    held, size = [], 0
+
+    def together():
+        samples, bounds, _ = pcm(held)
+        yield from map(_digest_row, held, features(samples, bounds))
+
+    for m in media:
+        if size + len(m) > DECODED and held:
+            yield from together()
+            held, size = [], 0
+        if len(m) > DECODED:
+            codec, start, end = parse(m)
+            yield _digest_row(m, measured(np.frombuffer(memoryview(m)[start:end], np.uint8), codec, tables))
+        else:
+            held.append(m)
+            size += len(m)
+    if held:
+        yield from together()
+
+
+def digest(df: DataFrame, text: str = "text", codec: int | None = None) -> tuple[DataFrame, dict[str, str]]:
     """Each text stored as WAV bytes, read back, decoded and measured; the bytes leave the worker only as
-    digests.  ``df``'s columns (without ``text``), n_bytes and the columns of ``DIGEST``; columns of the
-    input with one of these names are left out."""
-    made = T._parse_datatype_string("n_bytes long, " + DIGEST)
-    keep = [f for f in df.schema.fields if f.name != text and f.name.lower() not in made.names]
+    digests.  ``df``'s columns (without ``text``), n_bytes and the columns of ``DIGEST``; and the names these got."""
+    made, names = T._parse_datatype_string("n_bytes long, " + DIGEST), {}
+    keep = [f for f in df.schema.fields if f.name != text]
+    for c in made.names:
+        names[c] = free_name([*df.columns, *names.values()], c)
 
     def run(batches):
         for batch in batches:
             for piece in pieces(batch, text):
                 data, bounds = utf8(piece.column(text))
-                media = [store(p, codec_of(p) if codec is None else codec) for p in padded(data, bounds)]
-                columns = [list(x) for x in zip(*_digest_rows(media), strict=True)]
+                rows = list(_digest_rows(store(p, codec_of(p) if codec is None else codec) for p in padded(data, bounds)))
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                made_here = {"n_bytes": pa.array(np.diff(bounds))} | {k: pa.array(v, t) for k, v, t in zip(made.names[1:], columns, kinds, strict=True)}
-                yield appended(piece.select([f.name for f in keep]), made_here)
+                columns = [pa.array(np.diff(bounds)), *[pa.array(v, t) for v, t in zip(zip(*rows, strict=True), kinds, strict=True)]]
+                yield appended(piece.select([f.name for f in keep]), dict(zip(names.values(), columns, strict=True)))
 
-    return df.select(*[F.col(f"`{f.name}`") for f in keep], text).mapInArrow(frugal(run), T.StructType([*keep, *made.fields]))
+    schema = T.StructType([*keep, *[T.StructField(names[f.name], f.dataType) for f in made.fields]])
+    return df.select(*[F.col(f"`{f.name}`") for f in keep], text).mapInArrow(frugal(run), schema), names
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
-    return digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return digest(read_table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
