@@ -108,8 +108,8 @@ def train(texts: list[str], labels: list[str], seed: int = 1) -> Model:
     rng = np.random.default_rng(seed)
     y = np.searchsorted(np.array(languages), np.array(labels))
     rows = []
-    for text in texts:
-        data = np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
+    for text in pc.utf8_lower(pa.array(texts, pa.large_string())).to_pylist():  # as ``identify`` folds case
+        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
         ids = np.concatenate([i for i, _ in features(data, np.array([0, len(data)]))])
         found, count = np.unique(ids, return_counts=True)
         rows.append((found, (count / count.sum()).astype(np.float32)))
