@@ -31,12 +31,12 @@ MOST_RULES = 1000
 #: The labelled URL table that op1 trains on: stems of hosts, written by hand.  Each stem becomes a few
 #: URLs (``labelled_urls``) whose prefixes, endings and paths are dealt to both labels alike.
 BLOCKED_HOSTS = """
-casino-win casino-bonus online-casino royal-casino mega-casino slot-casino slots-win jackpot-slots jackpot-win win-big poker-bonus poker-win
-free-bets best-bets bets-online sport-bets betting-tips bet-now lotto-win lottery-prize free-prize free-gift free-iphone free-money fast-money easy-money
-cheap-pills pills-online diet-pills buy-pills pharma-cheap cheap-meds viagra-shop buy-viagra weight-loss-fast miracle-cure payday-loans fast-loans cheap-loans
+vegas-casino casino-spins casino-bonus online-casino royal-casino mega-casino slot-casino slots-win jackpot-slots jackpot-win win-big poker-bonus poker-win
+best-bets bets-online sport-bets betting-tips bet-now lotto-win lottery-prize free-prize free-gift free-iphone free-money fast-money easy-money
+pills-online diet-pills buy-pills pharma-cheap cheap-meds viagra-shop buy-viagra weight-loss-fast miracle-cure payday-loans fast-loans cheap-loans
 loans-now quick-credit crypto-profit crypto-double bitcoin-profit get-rich rich-quick replica-watch cheap-watches cheap-bags fake-bags outlet-cheap
-ads-track track-ads ad-click click-ads adserver-x ads-network popup-ads pixel-track tracker-x spam-farm link-farm seo-farm backlink-farm content-farm
-seo-links buy-links paid-links cheap-traffic buy-traffic fake-likes adult-x adult-cams x-cams live-cams sexy-chat xxx-video xxx-tube porn-x hot-girls hot-dates
+track-ads ad-click click-ads adserver-x ads-network popup-ads pixel-track tracker-x spam-blog link-spam bonus-bets ad-tracker tracking-ads discount-pills link-farm seo-farm backlink-farm content-farm
+seo-links buy-links paid-links cheap-traffic buy-traffic fake-likes adult-films adult-chat adult-cams x-cams live-cams sexy-chat xxx-video xxx-tube porn-x hot-girls hot-dates
 sexy-dates torrent-free warez-x crack-keys serial-keys keygen-x free-movies-x phish-login login-verify account-verify
 """
 ALLOWED_HOSTS = """
