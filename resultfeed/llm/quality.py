@@ -14,7 +14,7 @@ No rows are exploded, so a long document costs its own length only.
 Defined cases: null and blank texts have no words and zero counts; ``base_failed`` is true for them
 (fewer than 50 words).  Windows are compared by a 64-bit hash of their words.  Repeated rows are
 judged alike.  An empty table gives an empty table.  Other columns pass through ``judge`` untouched;
-a column of the input that has the name of one of the results is left out.
+results take a free name where the input has one of theirs.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def measures(text: Column) -> Column:
 
 
 def symbols(text: Column) -> Column:
-    return sum((F.length(text) - F.length(F.replace(text, F.lit(c))) for c in SYMBOLS), F.lit(0)).cast("long")
+    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -80,8 +80,8 @@ _MORE = ("n_lines", "n_upper", "n_stops", "n_odd", "n_marked")
 
 
 def counted(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keep`` and the counts over each whole text."""
-    a, b = free_name(keep, "word_stats"), free_name(keep, "line_stats")
+    """The columns ``keep`` (by names that none of the counts has) and the counts over each whole text."""
+    a, b = "word_stats", "line_stats"
     body = F.coalesce(F.col(text), F.lit(""))
     out = docs.select(
         *keep, measures(body).alias(a), _line_stats(body).alias(b), symbols(body).alias("n_symbols"),
@@ -156,24 +156,30 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
 
 
-def judge(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = None) -> DataFrame:
-    """The columns asked for (default: all), the counts, ``base_failed``, ``quality`` and ``kept``.
+def judge(docs: DataFrame, text: str = "text", keep_columns: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """The columns asked for (default: all), the counts, ``base_failed``, ``quality`` and ``kept``; and the names that the
+    results got.
 
     Texts are read once: the counts and the columns asked for are checkpointed between the
     counting of votes and the verdicts, so ask for narrow columns.
     """
-    made = {*COUNTS, *_MORE, "base_failed", "quality", "kept"}
-    keep = [c for c in (docs.columns if keep_columns is None else keep_columns) if c.lower() not in made]
-    named = {free_name(keep, f"vote_{k}"): v for k, v in rules().items()}
-    voted = cut(counted(docs, keep, text).withColumns(named))
+    keep = docs.columns if keep_columns is None else keep_columns
+    # the input's columns go by number, so that none can clash
+    placed = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").alias("body"))
+    named = {f"vote_{k}": v for k, v in rules().items()}
+    voted = cut(counted(placed, [f"k{i}" for i in range(len(keep))], "body").withColumns(named))
     names = list(named)
-    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias(free_name(names, "n"))).orderBy(*names).collect()]
+    patterns = [(tuple(r[:-1]), r[-1]) for r in voted.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).orderBy(*names).collect()]
     good, right = fit(patterns) if patterns else (START_GOOD, [(START_ACCURACY, START_ACCURACY)] * len(names))
     out = voted.withColumn("quality", posterior([F.col(c) for c in names], good, right)).withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)).drop(*names)
+    out = out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM))
+    made: dict[str, str] = {}
+    for c in (*COUNTS, *_MORE, "base_failed", "quality", "kept"):
+        made[c] = free_name([*keep, *made.values()], c)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(c).alias(name) for c, name in made.items()]), made
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
     from .common import read_table
 
-    return judge(read_table(spark, sf_dir, "documents"), keep_columns=["doc_id"]).select("doc_id", *COUNTS, "base_failed", "kept", "quality")
+    return judge(read_table(spark, sf_dir, "documents"), keep_columns=["doc_id"])[0].select("doc_id", *COUNTS, "base_failed", "kept", "quality")

@@ -81,6 +81,22 @@ def test_op2_oracle(spark):
     assert [r[:3] + r[4:] for r in got] == [r[:3] + r[4:] for r in want] and [r[3] for r in got] == pytest.approx([r[3] for r in want])
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+def test_words_taken_come_near_the_targets(spark):
+    """Within what whole documents and independent draws allow: four standard deviations of the draw, per source."""
+    rows = mixing.op2(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "source"), "doc_id").collect()
+    taken, target, spread = Counter(), {}, Counter()
+    for r in rows:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+        rate = r.target / r.source_size if r.source_size else 0
+        spread[r.source] += r.size**2 * (rate % 1) * (1 - rate % 1)
+        assert r.taken <= 3 * r.size
+    for s, t in target.items():
+        assert abs(taken[s] - t) <= 4 * spread[s] ** 0.5 + 1, s
+    assert abs(sum(taken.values()) - sum(target.values())) <= 0.03 * sum(target.values())
+
+
 def brute_counts(text):
     words = WORD.findall(text or "")
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
@@ -93,21 +109,23 @@ def brute_counts(text):
 
 
 def test_counts_of_odd_rows(odd, odd_rows, clashing, empty):
-    got = Counter((r.doc_id, *[r[c] for c in quality.COUNTS], r.base_failed) for r in quality.judge(odd, keep_columns=["doc_id"]).collect())
+    got = Counter((r.doc_id, *[r[c] for c in quality.COUNTS], r.base_failed) for r in quality.judge(odd, keep_columns=["doc_id"])[0].collect())
     want = Counter()
     for r in odd_rows:
         c = brute_counts(r[1])
         want[(r[0], *c, c[0] < 50 or 100 * c[4] > 50 * c[0])] += 1
     assert got == want
-    more = quality.judge(clashing)
-    assert more.count() == len(odd_rows) and set(clashing.columns) - {"n_words", "base_failed", "kept", "quality"} <= set(more.columns)
-    assert quality.judge(empty).count() == 0
+    more, names = quality.judge(clashing)
+    assert more.count() == len(odd_rows) and more.columns[: len(clashing.columns)] == clashing.columns and names["kept"] != "kept"
+    one, same = more.where("doc_id = 9").first(), clashing.where("doc_id = 9").first()
+    assert (one.kept, one.quality, one.n_words) == (same.kept, same.quality, same.n_words) and one[names["n_words"]] == brute_counts(same.text)[0]
+    assert quality.judge(empty)[0].count() == 0
 
 
 def test_em_sees_all_documents(odd, odd_rows, monkeypatch):
     seen, fit = [], quality.fit
     monkeypatch.setattr(quality, "fit", lambda patterns: seen.extend(patterns) or fit(patterns))
-    rows = quality.judge(odd, keep_columns=["doc_id"]).collect()
+    rows = quality.judge(odd, keep_columns=["doc_id"])[0].collect()
     assert any(r.base_failed for r in rows) and sum(n for _, n in seen) == len(odd_rows)
 
 
