@@ -11,7 +11,7 @@ a shorter first one.  How to fill sequences is decided on the driver from the hi
 4. Small pieces go by best fit, largest first, into the gaps, and then into new sequences.
 
 The plan is a list of runs: ranks a..b among the pieces of one length go to sequences s.. at one offset.
-A length is dealt to as many salts as it has ``RANKED`` pieces, so that no length, however common, is ordered in
+A length is dealt to salts by its share of all pieces, so that no length, however common, is ordered in
 one task, and the plan's runs are cut at the salts' edges: a piece finds its place by its rank within (length, salt).
 Full pieces have a sequence of their own and take no part in this.  Several numbers of groups are tried and the plan
 with the fewest sequences is taken.
@@ -23,6 +23,7 @@ ids) are packed each; ids may be of any type that can be ordered; an empty table
 from __future__ import annotations
 
 import bisect
+import math
 import zlib
 from dataclasses import dataclass
 
@@ -40,8 +41,8 @@ CAPACITY, END = 2048, 0
 #: Lengths from capacity / SMALL on are large.
 SMALL = 8
 GROUPS = (24, 48, 96, 192, 2048)
-#: Pieces of one length that are ordered together, about.
-RANKED = 500_000
+#: A length is dealt to salts of about this many pieces, or of this share of all pieces if that is more.
+RANKED, RANKED_SHARE = 1_000, 1 / 20_000
 #: Rows of a plan that are broadcast; a plan has some thousands.  A longer one is joined by shuffle.
 MOST_RUNS = 200_000
 
@@ -247,11 +248,12 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, keep_ids: bool = False, voca
     full = made.where(F.col("length") == capacity).select(*columns, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = made.where(F.col("length") < capacity)
     total = {r[0]: r[1] for r in rest.groupBy("length").agg(F.count(F.lit(1))).collect()}  # capacity rows at most
-    common = {k: -(-n // RANKED) for k, n in total.items() if n > RANKED}
+    each = max(RANKED, math.ceil(sum(total.values()) * RANKED_SHARE))
+    common = {k: -(-n // each) for k, n in total.items() if n > each}
     salts = F.coalesce(*[F.when(F.col("length") == k, F.lit(n)) for k, n in sorted(common.items())], F.lit(1))
     salted = rest.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), salts).cast("int"))
     parts: dict[int, list[tuple[int, int]]] = {k: [(0, n)] for k, n in total.items() if k not in common}
-    if common:  # a row per RANKED pieces
+    if common:  # 2 / RANKED_SHARE rows at most
         for length, salt, n in salted.where(F.col("length").isin(*common)).groupBy("length", "salt").agg(F.count(F.lit(1))).orderBy("length", "salt").collect():
             parts.setdefault(length, []).append((salt, n))
     runs, _ = plan(total, capacity)
