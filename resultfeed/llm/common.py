@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import sys
 import tempfile
 import types
@@ -23,13 +24,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where a session has none (tests, a laptop) is a local one set.
+    Only where a session has none and runs in one process (tests, a laptop) is a local one set; on a cluster that is
+    an error, since its machines share no temporary folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if found is None:
         set_before = context._jsc.sc().getCheckpointDir()
-        found = set_before.get() if set_before.isDefined() else tempfile.mkdtemp(prefix="resultfeed-")
+        if set_before.isDefined():
+            found = set_before.get()
+        elif re.fullmatch(r"local(\[.*\])?", context.master):
+            found = tempfile.mkdtemp(prefix="resultfeed-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(found)
     return found

@@ -228,3 +228,31 @@ def test_finished_shards_go_to_parts(spark, tmp_path, monkeypatch):
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
 def test_op6_gives_all_rows(spark):
     assert sharding.op6(spark, "/root/testdata/sf0.001").count() == 200
+
+
+def test_shared_folder(tmp_path):
+    """The session's own setting; a local folder only where all runs in one process."""
+    from types import SimpleNamespace
+
+    from resultfeed.llm.common import shared_dir
+
+    class Folder:
+        def __init__(self, place=None):
+            self.place = place
+
+        def isDefined(self):  # noqa: N802
+            return self.place is not None
+
+        def get(self):
+            return self.place
+
+    def session(master, setting=None):
+        state = {"dir": Folder()}
+        context = SimpleNamespace(master=master, setCheckpointDir=lambda d: state.update(dir=Folder(d)), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: state["dir"])))
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: setting), sparkContext=context)
+
+    assert shared_dir(session("spark://host:7077", "hdfs:///tmp/x")) == "hdfs:///tmp/x"
+    assert os.path.isdir(shared_dir(session("local[4]")))
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint.dir"):
+            shared_dir(session(master))
