@@ -369,3 +369,19 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return groups(read_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "copy_id")
+
+
+#: The same by definition: all pairs that share a shingle, and what each document reaches.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c * 10 >= 8 * (a.n + b.n - c)),
+reach(x, y) AS (SELECT x, y FROM l UNION SELECT reach.x, l.y FROM reach JOIN l ON l.x = reach.y),
+links AS (SELECT x, count(*) AS k FROM l GROUP BY x),
+least_ AS (SELECT x, min(y) AS y FROM reach GROUP BY x),
+copies AS (SELECT text, min(doc_id) AS first_id FROM d GROUP BY text)
+SELECT d.doc_id, coalesce(least(d.doc_id, least_.y), d.doc_id) AS class_id, CAST(coalesce(k, 0) AS BIGINT) AS n_links, CASE WHEN len(w) > 0 THEN first_id ELSE d.doc_id END AS copy_id
+FROM d JOIN copies USING (text) LEFT JOIN links ON links.x = d.doc_id LEFT JOIN least_ ON least_.x = d.doc_id
+"""

@@ -204,3 +204,19 @@ def op1(spark, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     out, _ = judge(pages, fit(spark.createDataFrame(labelled_urls(), "url string, label string")))
     return out.select("page_id", "host", "path", "rule", "verdict", "block_score")
+
+
+def url_rules(spark, sf_dir: str) -> DataFrame:
+    """What op1 does before the model: host, path and rule of every page."""
+    out, _ = ruled(read_table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule")
+
+
+_FITS = " ".join(
+    f"WHEN (host = '{on}' OR host LIKE '%.{on}') AND starts_with(path, '/{below}') THEN '{on}/{below}'" for on, below in (r.split("/", 1) for r in sorted(RULES, key=lambda r: (-len(r), r)))
+)
+RULES_SQL = f"""
+WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests)
+SELECT page_id, host, path, CASE {_FITS} END AS rule FROM parts
+"""
