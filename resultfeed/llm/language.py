@@ -3,7 +3,9 @@
 Subwords are byte n-grams (1 to 4 bytes) of the lower-cased text, in which everything ASCII that is
 no letter counts as a word end.  Each hashes to a row of an embedding table; a text is the mean of its
 rows; a linear layer and a softmax give the language.  Table and layer are trained by stochastic
-gradient descent in numpy on the driver, on a bounded sample of labelled rows.  A temperature fitted
+gradient descent in numpy on the driver, on a bounded sample of labelled rows; a text's rows of the table move by
+the gradient divided by the squared norm of their weights in the text, so that its mean moves as far whatever its
+length.  A temperature fitted
 on rows kept out of training calibrates the probabilities, and the same rows set the score below which
 a prediction is rejected; where that would reject mostly right ones (labels that are wrong whatever the
 score), it is ``ACCEPT_FROM``.  Prediction is a map over all rows: no shuffle, and whole texts in pieces.
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import appended, frugal, pieces, row_sums, utf8
+from .arrays import PIECE_BYTES, appended, frugal, pieces, row_sums, utf8
 from .common import free_name, read_table
 
 BITS, DIMENSIONS, ORDERS = 16, 16, (1, 2, 3, 4)
@@ -49,7 +51,8 @@ _FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)],
 def features(data: np.ndarray, bounds: np.ndarray, bits: int = BITS):
     """For each n-gram order: hashed ids of all n-grams, and their bounds by text.
 
-    A word end is added at both ends of each text, so that every text has some n-gram.
+    A word end is added at both ends of each text, so that every text has some n-gram.  A single text above
+    ``PIECE_BYTES`` comes in several parts of each order, so that its n-grams are never all in memory.
     """
     n = len(bounds) - 1
     padded = np.full(len(data) + 2 * n, 32, np.uint8)
@@ -58,6 +61,18 @@ def features(data: np.ndarray, bounds: np.ndarray, bits: int = BITS):
     inside[at[:-1]] = False
     inside[at[1:] - 1] = False
     padded[inside] = _FOLD[data]
+    if n == 1 and len(data) > PIECE_BYTES:
+        del inside
+        for a in range(0, len(padded), PIECE_BYTES):
+            part = padded[a : a + PIECE_BYTES + max(ORDERS) - 1].astype(np.uint32)
+            for order in ORDERS:
+                count = min(PIECE_BYTES, len(padded) - order + 1 - a)
+                if count > 0:
+                    code = np.zeros(count, np.uint32)
+                    for k in range(order):
+                        code |= part[k : k + count] << np.uint32(8 * k)
+                    yield ((code + np.uint32(order)) * np.uint32(2654435761)) >> np.uint32(32 - bits), np.array([0, count])
+        return
     code, ends = np.zeros(len(padded), np.uint32), at
     for order in ORDERS:
         if order > 1:

@@ -94,6 +94,33 @@ def test_grams_stay_in_their_row():
             assert ids[ends[i] : ends[i + 1]].tolist() == alone.tolist()
 
 
+def test_long_text_in_parts(monkeypatch):
+    data = np.random.default_rng(2).integers(90, 130, 5000).astype(np.uint8)
+    bounds = np.array([0, len(data)])
+    whole = np.sort(np.concatenate([ids for ids, _ in language.features(data, bounds)]))
+    monkeypatch.setattr(language, "PIECE_BYTES", 700)
+    parts = [ids for ids, _ in language.features(data, bounds)]
+    assert len(parts) > 8 and np.array_equal(np.sort(np.concatenate(parts)), whole)
+
+
+def test_memory_of_long_texts():
+    """What a text of eight megabytes costs beside itself."""
+    import tracemalloc
+
+    from resultfeed.llm import jaccard, tokens
+
+    text = " ".join(f"w{i * 7919 % 5003}x" for i in range(1_200_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    bounds, size = np.array([0, len(data)]), len(data)
+    model = language.Model(["a", "b"], np.zeros((1 << language.BITS, 2), np.float32), np.zeros(2, np.float32), 1.0, 0.0)
+    for work, most in ((lambda: jaccard.signatures(*jaccard.shingles(data, bounds)), 16), (lambda: model.predict(data, bounds), 16), (lambda: tokens.encoder().ids(text), 12)):
+        tokens.encoder()
+        tracemalloc.start()
+        work()
+        assert tracemalloc.get_traced_memory()[1] < most * size
+        tracemalloc.stop()
+
+
 def test_language_of_odd_rows(odd, odd_rows, clashing, empty):
     model = language.fit(odd)
     out, names = language.identify(odd, model)
