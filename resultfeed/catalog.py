@@ -10,14 +10,15 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from resultfeed.functions.encode import hex_bytes, row_json
+from resultfeed.functions.encode import from_row_json, hex_bytes, row_json
 from resultfeed.operators import diff
 from resultfeed.plans.dialect import to_spark
-from resultfeed.plans.predicate import may_match, parse, tri_state
+from resultfeed.plans.predicate import may_match, parse, tri_state, tri_state_json
+from resultfeed.sources.files import scratch
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -268,6 +269,175 @@ def _partial_updates(spark, sf_dir):
     return changelog.next_version(orders, changes, ["o_orderkey"])
 
 
+def _engine(spark, sf_dir):
+    """An engine over the old version of ``orders``, and the change records that lead to the new one, in two batches."""
+    from resultfeed.plans.analyze import Analyzer
+    from resultfeed.registry import Registry
+    from resultfeed.streaming.engine import Engine
+    from resultfeed.streaming.sinks import JsonLinesSink
+
+    root = scratch(spark)
+    old, new = versions(spark, sf_dir)
+    engine = Engine(spark, f"{root}/state", Registry(Analyzer(spark)), JsonLinesSink(f"{root}/out"))
+    engine.add_table("orders", old, ["o_orderkey"])
+    a, b = old.alias("a"), new.alias("b")
+    both = a.join(b, F.col("a.o_orderkey") == F.col("b.o_orderkey"), "full_outer").where("NOT (struct(a.*) <=> struct(b.*))")
+    op = F.when(F.col("a.o_orderkey").isNull(), "I").when(F.col("b.o_orderkey").isNull(), "D").otherwise("U")
+    image = lambda t: F.when(F.col(f"{t}.o_orderkey").isNotNull(), F.to_json(F.struct(f"{t}.*")))
+    key = F.coalesce("a.o_orderkey", "b.o_orderkey")
+    log = both.select(key.alias("lsn"), F.lit(0).cast("long").alias("seq"), key.alias("tx"), F.lit("orders").alias("tbl"), op.alias("op"), F.when(op == "D", image("a")).alias("before"), image("b").alias("after"), F.lit(False).alias("partial"))
+    return engine, log
+
+
+def _served(spark, sf_dir, sql: str, identity: list[str]):
+    """What a subscriber of ``sql`` is sent for two batches of changes: sink rows of all batches."""
+    from resultfeed.service import Service, SubscribeRequest
+
+    engine, log = _engine(spark, sf_dir)
+    answer = Service(engine).subscribe("client", SubscribeRequest(sql, identity))
+    if not answer.success:
+        raise RuntimeError(answer.error)
+    for n in (0, 1):
+        engine.process(log.where(F.col("lsn") % 2 == n), n)
+    return engine, spark.read.json(f"{engine.sink.path}/query={answer.query_id}/mode=events")
+
+
+def _engine_events(spark, sf_dir):
+    """Subscribe, two batches, and the events of a rowwise query in the sink (no requery, no stored result)."""
+    engine, sent = _served(spark, sf_dir, "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'", ["o_orderkey"])
+    if engine.metrics["incremental"] != 2 or engine.metrics["requeries"]:
+        raise RuntimeError("the query should have been answered from the changed rows")
+    return sent.select("seq", F.col("event.mz_diff").cast("int").alias("mz_diff"), F.col("event.data.o_orderkey").alias("o_orderkey"), F.col("event.data.o_orderstatus").alias("o_orderstatus"))
+
+
+def _engine_requery(spark, sf_dir):
+    """The same for an aggregate, which is run again and compared: first rows and events folded give its result."""
+    _, sent = _served(spark, sf_dir, "SELECT o_orderstatus, COUNT(*) AS n FROM orders GROUP BY o_orderstatus", ["o_orderstatus"])
+    old, _ = versions(spark, sf_dir)
+    first = diff.init_events(old.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")), 0)
+    events = sent.select(F.col("event.mz_timestamp").alias("mz_timestamp"), F.col("event.mz_diff").cast("int").alias("mz_diff"), F.col("event.data.o_orderstatus").alias("o_orderstatus"), F.col("event.data.n").alias("n"))
+    return diff.fold(first.unionByName(events))
+
+
+def _engine_table(spark, sf_dir):
+    """The engine's table after both batches: base and deltas, merged on read."""
+    engine, log = _engine(spark, sf_dir)
+    for n in (0, 1):
+        engine.process(log.where(F.col("lsn") % 2 == n), n)
+    return engine.table(spark, engine.tables["orders"])
+
+
+def _snapshot_order(spark, sf_dir):
+    """A stored result keeps the query's order."""
+    from resultfeed.streaming.engine import POS
+
+    engine, _ = _engine(spark, sf_dir)
+    query, _ = engine.registry.subscribe("client", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderstatus DESC, o_orderkey LIMIT 500", (), "snapshot", engine.start_query)
+    stored = engine._stored(spark, query, query.version)
+    return stored.select("o_orderkey", (F.row_number().over(Window.orderBy(POS))).cast("long").alias("place"))
+
+
+_ANALYZED = {
+    "simple": ("SELECT * FROM public.Orders WHERE o_orderkey = 5", "orders", True, True),
+    "no_where": ("SELECT o_orderkey FROM orders", "orders", False, True),
+    "join": ("SELECT * FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_orderkey > 5", "customer,orders", False, False),
+    "self_join": ("SELECT * FROM orders a JOIN orders b ON a.o_orderkey = b.o_custkey WHERE a.o_orderkey > 5", "orders", False, False),
+    "subquery": ("SELECT * FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)", "customer,orders", False, False),
+    "shadow": ("WITH orders AS (SELECT * FROM orders) SELECT * FROM orders", "orders", False, False),
+    "union": ("SELECT o_custkey FROM orders UNION SELECT c_custkey FROM customer", "customer,orders", False, False),
+    "aggregate": ("SELECT COUNT(*) AS n FROM orders WHERE o_orderstatus = 'P'", "orders", True, False),
+    "unstable": ("SELECT * FROM events WHERE ts > now()", "events", False, False),
+    "half_clear": ("SELECT * FROM orders WHERE o_orderkey = 5 AND o_custkey IN (SELECT c_custkey FROM customer)", "customer,orders", True, False),
+    "command": ("INSERT INTO orders VALUES (1)", "Only SELECT", False, False),
+    "two": ("SELECT 1; SELECT 2", "Parse", False, False),
+    "empty": ("  -- nothing", "Empty", False, False),
+}
+
+
+def _analyze(spark, sf_dir):
+    """What the analyzer finds in a dozen texts: tables or the error, whether changes prune, whether rows stand alone."""
+    from resultfeed.plans.analyze import Analyzer, QueryError
+
+    analyzer, rows = Analyzer(spark), []
+    for name, (sql, *_) in _ANALYZED.items():
+        try:
+            found = analyzer.analyze(sql)
+            rows.append((name, ",".join(found.tables), found.prunable, found.rowwise))
+        except QueryError as e:
+            rows.append((name, str(e).split(":")[0], False, False))
+    return spark.createDataFrame(rows, "name string, found string, prunable boolean, rowwise boolean")
+
+
+def _query_keys(spark, sf_dir):
+    """Texts that share a result: case and blanks fold outside literals and quoted names only."""
+    from resultfeed.plans.analyze import query_key
+
+    texts = ["SELECT * FROM t WHERE a = 'X'", "select  *\nfrom T -- c\n where A = 'X' ;", "SELECT * FROM t WHERE a = 'x'", "SELECT * FROM t WHERE a = 'X '", 'SELECT "A" FROM t', 'SELECT "a" FROM t']
+    keys = [query_key(t) for t in texts]
+    return spark.createDataFrame([(i, keys.index(k)) for i, k in enumerate(keys)], "text long, shares_with long")
+
+
+def _coerced(spark, sf_dir):
+    """Literals of another type than the column's: what converts is compared, what doesn't is unknown."""
+    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.col("value").cast("string").alias("v"), (F.col("event_id") % 3 == 0).alias("third"))
+    asked = {"text_number": "v > 50", "number_text": "event_id = '7'", "bad_text": "event_id = 'x'", "text_bad": "event_type = 5", "bool_text": "third = true", "list": "event_id IN (1, '2', 3.0)"}
+    return rows.select("event_id", *[tri_state(rows, parse(p)).alias(k) for k, p in asked.items()])
+
+
+def _tri_state_json(spark, sf_dir):
+    """The same predicate over rows that come as JSON, as change records carry them."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.nullif(F.col("event_type"), F.lit("error")).alias("event_type"), "value")
+    packed = rows.select("event_id", row_json(rows, ["event_type", "value"]).alias("row"))
+    schema = T.StructType([rows.schema["event_type"], rows.schema["value"]])
+    return tri_state_json(packed, "row", schema, parse("event_type = 'click' AND value > 50")).drop("row")
+
+
+def _decoded(spark, sf_dir):
+    """All kinds of replication messages, decoded: built per nation, an insert, an update with its old key, an update
+    that leaves a large value alone, a delete; and a truncation at the end."""
+    import json
+
+    import pandas as pd
+
+    from resultfeed.sources.pgoutput import transactions
+
+    def decode(batches):
+        for rows in batches:
+            out = []
+            for key, name in rows.itertuples(index=False):
+                value = lambda v: b"n" if v is None else v if isinstance(v, bytes) else b"t" + struct.pack(">I", len(v.encode())) + v.encode()
+                row = lambda *v: struct.pack(">H", len(v)) + b"".join(map(value, v))
+                k, columns = str(key), b"".join(bytes([f]) + n + b"\0" + struct.pack(">Ii", oid, -1) for f, n, oid in ((1, b"ID", 20), (0, b"name", 25), (0, b"live", 16)))
+                messages = [
+                    b"R" + struct.pack(">I", 9) + b"public\0Nation\0d" + struct.pack(">H", 3) + columns, b"B" + struct.pack(">QqI", key + 1, 0, key),
+                    b"I" + struct.pack(">I", 9) + b"N" + row(k, name, "t"), b"U" + struct.pack(">I", 9) + b"K" + row(k, None, None) + b"N" + row(str(key + 100), name, "f"),
+                    b"U" + struct.pack(">I", 9) + b"N" + row(str(key + 100), b"u", None), b"D" + struct.pack(">I", 9) + b"K" + row(str(key + 100), None, None), b"T" + struct.pack(">IB", 1, 0) + struct.pack(">I", 9), b"C\0" + struct.pack(">QQq", 0, key + 2, 0),
+                ]
+                for _, part in transactions(iter(messages)):
+                    for lsn, seq, tx, tbl, op, before, after, partial in part:
+                        b, a = json.loads(before or "{}"), json.loads(after or "{}")
+                        out.append((lsn, seq, tbl, op, b.get("id"), a.get("id"), a.get("name"), a.get("live"), partial))
+            yield pd.DataFrame(out, columns=["lsn", "seq", "tbl", "op", "old_id", "id", "name", "live", "partial"]).astype({"old_id": "Int64", "id": "Int64", "live": "boolean"})
+
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return rows.mapInPandas(decode, "lsn long, seq long, tbl string, op string, old_id long, id long, name string, live boolean, partial boolean")
+
+
+def _json_back(spark, sf_dir):
+    """Rows as JSON and back."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("s"), "o_totalprice", "o_orderdate")
+    return rows.select(from_row_json(row_json(rows), rows.schema).alias("r")).select("r.*")
+
+
+def _value_json(spark, sf_dir):
+    """How single values are delivered: exact decimals and bytes as text, NaN as null, arrays with nulls."""
+    rows = table(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("k"), (F.col("n_nationkey") / 4).cast("decimal(10,2)").alias("d"), F.col("n_name").cast("binary").alias("b"), F.lit(float("nan")).alias("f"),
+        F.array(F.col("n_nationkey"), F.lit(None).cast("long")).alias("a"), F.lit(None).cast("string").alias("z"),
+    )
+    return rows.select("k", row_json(rows, ["d", "b", "f", "a", "z"]).alias("data"))
+
+
 def _odd_names(spark, sf_dir):
     """A difference of results whose columns are named like the engine's own, and with dots."""
     names = ["o_orderkey", "mz_diff", "a.b", "_n"]
@@ -317,6 +487,22 @@ OPERATORS = {
     "partial_updates": (_partial_updates, """SELECT CASE WHEN o_orderkey % 10 = 3 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey,
         CASE o_orderkey % 10 WHEN 1 THEN 'Y' WHEN 3 THEN 'M' WHEN 4 THEN 'B' ELSE o_orderstatus END AS o_orderstatus,
         CASE o_orderkey % 10 WHEN 1 THEN 'new' WHEN 2 THEN NULL WHEN 4 THEN 'back' ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 10 <> 5"""),
+    "engine_events": (_engine_events, f"""WITH {_V}, a AS (SELECT * FROM v0 WHERE o_orderstatus = 'P'), b AS (SELECT * FROM v1 WHERE o_orderstatus = 'P'),
+        e AS (SELECT -1 AS mz_diff, o_orderkey, o_orderstatus FROM a WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b) UNION ALL SELECT 1, o_orderkey, o_orderstatus FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM a))
+        SELECT CAST(1 + o_orderkey % 2 AS BIGINT) AS seq, mz_diff, o_orderkey, o_orderstatus FROM e"""),
+    "engine_requery": (_engine_requery, f"WITH {_V} SELECT o_orderstatus, COUNT(*) AS n FROM v1 GROUP BY o_orderstatus"),
+    "engine_table": (_engine_table, f"WITH {_V} SELECT * FROM v1"),
+    "snapshot_order": (_snapshot_order, f"WITH {_V} SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderstatus DESC NULLS FIRST, o_orderkey) AS place FROM v0 QUALIFY place <= 500"),
+    "analyze": (_analyze, "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{found}', {str(p).upper()}, {str(r).upper()})" for k, (_, found, p, r) in _ANALYZED.items()) + ") AS t(name, found, prunable, rowwise)"),
+    "query_keys": (_query_keys, "SELECT CAST(i AS BIGINT) AS text, CAST(CASE WHEN i = 1 THEN 0 ELSE i END AS BIGINT) AS shares_with FROM range(6) AS t(i)"),
+    "coerced": (_coerced, """SELECT event_id, CASE WHEN value > 50 THEN 'match' WHEN value <= 50 THEN 'no_match' ELSE 'unknown' END AS text_number, CASE WHEN event_id = 7 THEN 'match' ELSE 'no_match' END AS number_text,
+        'unknown' AS bad_text, 'unknown' AS text_bad, CASE WHEN event_id % 3 = 0 THEN 'match' ELSE 'no_match' END AS bool_text, CASE WHEN event_id IN (1, 2, 3) THEN 'match' ELSE 'no_match' END AS list FROM events"""),
+    "tri_state_json": (_tri_state_json, "SELECT event_id, CASE WHEN NULLIF(event_type, 'error') = 'click' AND value > 50 THEN 'match' WHEN NULLIF(event_type, 'error') <> 'click' OR value <= 50 THEN 'no_match' ELSE 'unknown' END AS r FROM events"),
+    "decoded": (_decoded, """SELECT n_nationkey + 1 AS lsn, CAST(seq AS BIGINT) AS seq, 'nation' AS tbl, op, CASE WHEN seq = 1 THEN n_nationkey WHEN seq = 3 THEN n_nationkey + 100 END AS old_id,
+        CASE WHEN seq = 0 THEN n_nationkey WHEN seq IN (1, 2) THEN n_nationkey + 100 END AS id, CASE WHEN seq < 2 THEN n_name END AS name, CASE seq WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS live, seq = 2 AS partial
+        FROM nation, (VALUES (0, 'I'), (1, 'U'), (2, 'U'), (3, 'D'), (4, 'T')) AS t(seq, op)"""),
+    "json_back": (_json_back, "SELECT o_orderkey, NULLIF(o_orderstatus, 'F') AS s, o_totalprice, o_orderdate FROM orders"),
+    "value_json": (_value_json, r"""SELECT n_nationkey AS k, '{"d":"' || CAST(CAST(n_nationkey / 4.0 AS DECIMAL(10, 2)) AS VARCHAR) || '","b":"\\x' || lower(hex(encode(n_name))) || '","f":null,"a":[' || n_nationkey || ',null],"z":null}' AS data FROM nation"""),
     "odd_names": (_odd_names, f"""WITH {_V}, j AS (SELECT v0.o_orderkey AS k0, v0.o_custkey AS c0, v0.o_orderstatus AS s0, v1.o_orderkey AS k1, v1.o_custkey AS c1, v1.o_orderstatus AS s1 FROM v0 FULL OUTER JOIN v1 ON v0.o_orderkey = v1.o_orderkey)
         SELECT -1 AS d, k0 AS k, c0 AS mz_diff, s0 AS "a.b", 1 AS _n FROM j WHERE k0 IS NOT NULL AND (k1 IS NULL OR s0 IS DISTINCT FROM s1) UNION ALL SELECT 1, k1, c1, s1, 1 FROM j WHERE k1 IS NOT NULL AND (k0 IS NULL OR s0 IS DISTINCT FROM s1)"""),
     "row_json": (_row_json, "SELECT o_orderkey, CAST(json_object('id', o_orderkey, 's', NULLIF(o_orderstatus, 'F')) AS VARCHAR) AS data FROM orders"),

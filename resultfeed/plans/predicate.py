@@ -266,6 +266,13 @@ def tri_state(df: DataFrame, pred: Pred) -> Column:
     return F.when(c, MATCH).when(~c, NO_MATCH).otherwise(UNKNOWN)
 
 
+def tri_state_json(df: DataFrame, column: str, schema: T.StructType, pred: Pred, name: str = "r") -> DataFrame:
+    """``df`` with a verdict for rows that come as JSON text in ``column``; a field that is absent counts as null."""
+    placed = [f"__{i}" for i in range(len(df.columns))]
+    typed = df.toDF(*placed).select("*", F.from_json(placed[df.columns.index(column)], schema).alias("__row")).select(*placed, "__row.*")
+    return typed.select(*[F.col(p).alias(c) for p, c in zip(placed, df.columns, strict=True)], tri_state(typed, pred).alias(name))
+
+
 def may_match(schema: T.StructType, pred: Pred) -> Column:
     """Whether a row can be in the result: anything but a clear no."""
     return F.coalesce(pred.column(schema), F.lit(True))

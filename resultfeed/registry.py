@@ -82,6 +82,9 @@ class Registry:
         if sub_id in self._subs:
             raise SubscriptionError(f"Subscription '{sub_id}' already exists")
 
+    def analyzed(self, sql: str) -> Analysis:
+        return self._analyzer.analyze(sql)
+
     def unsubscribe(self, sub_id: str) -> tuple[bool, SharedQuery | None]:
         """Whether it existed, and the query that went with its last subscriber."""
         with self.lock:

@@ -171,6 +171,15 @@ class Service:
         active = min(most, sum(s.numActiveTasks for s in stages if s))
         return active, most - active, most
 
+    def sample(self, sql: str, most: int = 100) -> dict:
+        """Any SELECT over the engine's tables, for a look at them: the number of its rows, and the first ones."""
+        try:
+            found = self.engine.run_query(self.engine.spark, self.engine.registry.analyzed(sql).sql)
+            head = [json.loads(r.value) for r in found.select(data_json(found).alias("value")).limit(most).collect()]
+            return {"success": True, "row_count": len(head) if len(head) < most else found.count(), "rows": head}
+        except Exception as e:
+            return {"success": False, "error": str(e).splitlines()[0] if str(e) else type(e).__name__}
+
     # what carries the messages
 
     def serve(self, bus, stop: threading.Event | None = None) -> None:

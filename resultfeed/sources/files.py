@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
+import uuid
+
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``.  Only where all runs in one process,
+    and the session has no such setting, is it a local one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return f"{shared.rstrip('/')}/resultfeed-{uuid.uuid4().hex}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    made = tempfile.mkdtemp(prefix="resultfeed-")
+    atexit.register(shutil.rmtree, made, True)
+    return made
+
+
 class SharedFiles:
     def __init__(self, spark: SparkSession, root: str):
         self._jvm, self.root = spark.sparkContext._jvm, root.rstrip("/")

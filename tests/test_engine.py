@@ -440,6 +440,14 @@ def test_results_with_odd_names(spark, tmp_path):
     assert sorted((x["mz_diff"], x["data"]["mz_diff"], x["data"]["x.y"]) for x in second) == [(-1, "pending", 3), (-1, "shipped", 2), (1, "pending", 2), (1, "shipped", 3)]
 
 
+def test_sample(spark, tmp_path):
+    e = engine_of(spark, tmp_path)
+    e.add_table("orders", orders(spark), ["id"])
+    s = Service(e)
+    assert s.sample("SELECT id FROM orders ORDER BY id", 2) == {"success": True, "row_count": 6, "rows": [{"id": 1}, {"id": 2}]}
+    assert not s.sample("DROP TABLE orders")["success"] and not s.sample("SELECT nope FROM orders")["success"]
+
+
 class FakeBus:
     def __init__(self, *requests):
         self.asked, self.sent, self._requests = [], [], requests
