@@ -3,6 +3,11 @@
 Language identification drops the documents it rejects; of each group of near copies the first
 document stays; passages that occur earlier are cut out; sources are mixed to their target weights; what is
 left is packed into sequences.  All stages but the last return the columns of ``documents``.
+
+Defined cases: a null, empty or blank text has no language and goes in the first stage; other columns may be null, and
+there may be more of them, of any name: all but the last stage pass them through.  Rows with equal texts are copies, and
+the one with the least id stays (null last); rows with one id and different texts are different documents.  An empty
+table, or one without labelled rows, gives no rows.  Texts are used whole.
 """
 
 from __future__ import annotations
