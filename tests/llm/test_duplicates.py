@@ -354,3 +354,22 @@ def test_pipeline_stage_by_stage(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d)
     assert packed.agg(F.sum("length")).first()[0] >= len(after)
     assert corpus_pipeline.run(spark, d).columns == packed.columns
+
+
+@pytest.mark.parametrize("kind", ["odd", "clashing", "empty"])
+def test_pipeline_of_odd_tables(spark, tmp_path, request, kind):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = request.getfixturevalue(kind)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    seen = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, seen = seen, stage(spark, seen, str(tmp_path))
+        assert seen.columns == docs.columns, name
+        path = str(tmp_path / f"{name}.parquet")
+        seen.write.parquet(path)
+        seen = spark.read.parquet(path)
+        rows = {r.doc_id for r in seen.select("doc_id").collect()}
+        assert rows <= {r.doc_id for r in before.select("doc_id").collect()}, name
+    packed = corpus_pipeline.run(spark, str(tmp_path))
+    assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in seen.select("doc_id").collect()}
+    assert (packed.count() == 0) == (kind == "empty")
