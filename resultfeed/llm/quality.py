@@ -40,9 +40,7 @@ KEEP_FROM = 0.5
 def _covered(words: Column) -> Column:
     """Words inside 3-word windows that occur at least twice in ``words``."""
     n = F.greatest(F.size(words) - 2, F.lit(0))
-    windows = F.transform(
-        F.arrays_zip(F.slice(words, 1, n).alias("a"), F.slice(words, 2, n).alias("b"), F.slice(words, 3, n).alias("c")), lambda w: F.xxhash64(w)
-    )
+    windows = F.transform(F.slice(words, 1, n), lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
 
     def repeats(placed: Column) -> Column:
         twice = F.filter(placed, lambda x, i: (x["h"] == F.get(placed, i - 1)["h"]) | (x["h"] == F.get(placed, i + 1)["h"]))
